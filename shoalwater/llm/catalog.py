@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoalwater.llm import exact_dedup, source_mix
+from shoalwater.llm import byte_bpe, exact_dedup, language_id, pii, secrets, simhash, source_mix
+
+#: The rank file of the registered query; a parameter of the operator.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +25,40 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text, judged by how many sources hold them."""
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the component of each."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those not held out."""
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text, encoded and decoded again."""
+    tokenizer = byte_bpe.Tokenizer(spark, RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.digests(tokenizer.decode(tokenizer.encode(documents(spark, sf_dir))))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.find_personal(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_simhash": op5_simhash,
+    "op7_language_id": op7_language_id,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_pii": op10_pii,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
