@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -80,54 +81,87 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else None
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Tokens of a pre-token that is not in the vocabulary as a whole."""
-    n = len(piece)
-    end = list(range(1, n + 1))  # where the piece that begins here ends; 0: merged away
-    before = list(range(-1, n - 1))
-    heap = [(r, i) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+def joins(ranks: dict[bytes, int]) -> dict[int, int]:
+    """left id x size + right id -> id of the joined bytes, for every way to cut an entry into two entries."""
+    size = max(ranks.values(), default=0) + 1
+    return {
+        ranks[token[:i]] * size + ranks[token[i:]]: rank
+        for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks
+    }
+
+
+def merge(piece: list[int], pair: dict[int, int], size: int) -> list[int]:
+    """Merge neighbouring ids (at first one for each byte) until no two neighbours join."""
+    n, get = len(piece), pair.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [r * n + i for i in range(n - 1) if (r := get(piece[i] * size + piece[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        r, i = heapq.heappop(heap)
-        j = end[i]
-        if not j or j >= n or ranks.get(piece[i : end[j]]) != r:
+        r, i = divmod(heapq.heappop(heap), n)
+        j = after[i]
+        if piece[i] < 0 or j >= n or get(piece[i] * size + piece[j]) != r:
             continue  # one of the two has been merged since
-        end[i], end[j] = end[j], 0
-        if end[i] < n:
-            before[end[i]] = i
-            if (s := ranks.get(piece[i : end[end[i]]])) is not None:
-                heapq.heappush(heap, (s, i))
-        if i:
-            h = before[i]
-            if (s := ranks.get(piece[h : end[i]])) is not None:
-                heapq.heappush(heap, (s, h))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return out
+        k, h = after[j], before[i]
+        piece[i], piece[j], after[i] = r, -1, k
+        if k < n:
+            before[k] = i
+            if (s := get(r * size + piece[k])) is not None:
+                heapq.heappush(heap, s * n + i)
+        if h >= 0 and (s := get(piece[h] * size + r)) is not None:
+            heapq.heappush(heap, s * n + h)
+    return [x for x in piece if x >= 0]
+
+
+#: Letters and numbers of Unicode versions after 16.0, which the reference splitter takes for other characters (fixed values).
+LATER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1"
+    "\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda"
+    "\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24"
+    "\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed"
+    "\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Neither letter, number nor white space in any version.
+_OTHER = "\ue000"
 
 
 class Encoder:
-    """Text to token ids; ``remember`` bounds the table of recent pre-tokens."""
+    """Text to token ids; twice ``remember`` bounds the table of recent pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pattern: str, remember: int = 200_000):
-        self.ranks, self.table, self.split, self.remember = ranks, table, regex.compile(pattern).findall, remember
+    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pair: dict[int, int], pattern: str, remember: int = 250_000):
+        self.table, self.pair, self.size, self.remember = table, pair, max(ranks.values()) + 1, remember
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        self.pattern, self.later = regex.compile(pattern), re.compile(f"[{LATER}]")
         self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        if text.isascii() or not self.later.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(self.later.sub(_OTHER, text))]
 
     def one(self, token: str) -> tuple[int, ...]:
-        data = token.encode("utf-8", "surrogatepass")
-        rank = self.table.get(data)
-        ids = (rank,) if rank is not None else tuple(merge(data, self.ranks))
-        if len(self.recent) >= self.remember:
-            self.recent.clear()
+        """Ids of a pre-token that is not among the recent ones."""
+        ids = self.older.get(token)
+        if ids is None:
+            data = token.encode("utf-8", "surrogatepass")
+            rank = self.table.get(data)
+            ids = (rank,) if rank is not None else tuple(merge([self.bytes[b] for b in data], self.pair, self.size))
         if len(token) <= 64:
+            if len(self.recent) >= self.remember:
+                self.older, self.recent = self.recent, {}
             self.recent[token] = ids
         return ids
 
     def __call__(self, text: str) -> list[int]:
         known, one = self.recent.get, self.one
-        return list(chain.from_iterable([known(t) or one(t) for t in self.split(text)]))
+        out: list[int] = []
+        for t in self.split(text):
+            if (ids := known(t)) is None:
+                ids, known = one(t), self.recent.get
+            out += ids
+        return out
 
 
 class Tokenizer:
@@ -137,7 +171,7 @@ class Tokenizer:
         ranks = read_ranks(path)
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the vocabulary must hold every byte")
-        self.shared = spark.sparkContext.broadcast((ranks, PerfectHash(ranks), pattern))
+        self.shared = spark.sparkContext.broadcast((ranks, PerfectHash(ranks), joins(ranks), pattern))
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Rows (id, ids): the token ids of each row's whole text.
@@ -188,11 +222,12 @@ _ENCODERS: dict[int, Encoder] = {}
 
 
 def _worker(shared) -> Encoder:
-    """One encoder for each broadcast vocabulary and worker process."""
-    if shared.id not in _ENCODERS if hasattr(shared, "id") else True:
+    """One encoder for each vocabulary, kept from task to task of a worker process."""
+    key = id(shared.value)
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[getattr(shared, "id", 0)] = Encoder(*shared.value)
-    return _ENCODERS[getattr(shared, "id", 0)]
+        _ENCODERS[key] = Encoder(*shared.value)
+    return _ENCODERS[key]
 
 
 def digests(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
