@@ -192,3 +192,26 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(id, held_out, lang_pred, score, margin), learned from the labelled rows of ``docs`` that are not held out."""
     prototypes = fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
     return predict(docs, prototypes, id_col, text_col).select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score", "margin")
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = 0.05, dims: int = 1024, seed: int = 7, most: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: a letter, and a cosine of ``least`` with some prototype.
+
+    A narrow map: rows are filtered where they are.  Without prototypes, or
+    for null and letterless texts, a row is rejected.
+    """
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[k] for k in prototypes]).reshape(len(prototypes), dims))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, space = shared.value, Space(dims, seed)
+        for batch in batches:
+            texts, keep = [t or "" for t in batch.column(at).to_pylist()], np.zeros(batch.num_rows, dtype=bool)
+            for a, b in _chunks(texts, most):
+                v = space.bundle(texts[a:b])
+                size = np.linalg.norm(v, axis=1)
+                if len(table):
+                    keep[a:b] = (size > 0) & ((v @ table.T).max(axis=1) >= least * size)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
