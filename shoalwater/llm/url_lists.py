@@ -118,7 +118,7 @@ h AS (
 k AS (
   SELECT DISTINCT 'host:' || host AS key FROM h WHERE host IS NOT NULL
   UNION
-  SELECT DISTINCT 'domain:' || array_to_string(list_slice(string_split(host, '.'), -3, NULL), '.') FROM h WHERE host IS NOT NULL),
+  SELECT DISTINCT 'domain:' || array_to_string(string_split(host, '.')[-3:], '.') FROM h WHERE host IS NOT NULL),
 d AS (SELECT key, CAST('0x' || substr(md5(key), 1, 4) AS INTEGER) AS n FROM k),
 a AS (SELECT key, n, CAST(DATE '2024-01-01' + n % 400 AS DATE) AS a FROM d),
 b AS (SELECT *, CAST(a + (60 + n % 200) AS DATE) AS b FROM a),
