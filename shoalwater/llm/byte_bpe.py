@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -172,6 +173,11 @@ class Tokenizer:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the vocabulary must hold every byte")
         self.shared = spark.sparkContext.broadcast((ranks, PerfectHash(ranks), joins(ranks), pattern))
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            pieces[rank] = token
+        size = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.pieces = spark.sparkContext.broadcast((np.cumsum(size) - size, size, np.frombuffer(b"".join(pieces), dtype=np.uint8)))
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Rows (id, ids): the token ids of each row's whole text.
@@ -202,17 +208,24 @@ class Tokenizer:
 
         Null ids give empty bytes; an id outside the vocabulary raises an error.
         """
-        shared = self.shared
+        shared = self.pieces
         kind = tokens.schema[id_col].dataType.simpleString()
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ranks = shared.value[0]
-            pieces = [b""] * (max(ranks.values()) + 1)
-            for token, rank in ranks.items():
-                pieces[rank] = token
+            start, size, blob = shared.value
             for batch in batches:
-                data = [b"".join([pieces[i] for i in x]) for x in (x.values.to_pylist() if x.is_valid else [] for x in batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["doc", "ids", "data"])
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    lists = part.column(1)
+                    ids = lists.flatten().to_numpy(zero_copy_only=False)
+                    if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or not size[ids].all()):
+                        raise ValueError("an id outside the vocabulary")
+                    end = np.cumsum(size[ids])
+                    data = blob[np.arange(end[-1] if len(end) else 0) + np.repeat(start[ids] - end + size[ids], size[ids])]
+                    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                    edge = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])].astype(np.int32)
+                    texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(data.tobytes())])
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists, texts], names=["doc", "ids", "data"])
 
         found = tokens.select(F.col(id_col).alias("doc"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc {kind}, ids array<int>, data binary")
         return found.withColumnRenamed("doc", id_col)
