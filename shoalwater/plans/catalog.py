@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from shoalwater.plans import text_queries, url_queries
+
+_PARTS = (text_queries, url_queries)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
