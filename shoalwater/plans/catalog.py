@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from shoalwater.plans import text_queries, url_queries
+from shoalwater.plans import fusion_queries, text_queries, url_queries
 
-_PARTS = (text_queries, url_queries)
+_PARTS = (fusion_queries, text_queries, url_queries)
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
