@@ -15,8 +15,8 @@ def wilson(successes: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     p = successes / total
     middle = (p + z * z / (2 * total)) / (1 + z * z / total)
     half = z * F.sqrt(p * (1 - p) / total + z * z / (4 * total * total)) / (1 + z * z / total)
-    low = F.when(successes == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), middle - half))
-    high = F.when(successes == n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), middle + half))
+    low = F.when(p == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), middle - half))
+    high = F.when(p == 1, F.lit(1.0)).otherwise(F.least(F.lit(1.0), middle + half))
     return low, high
 
 
