@@ -15,6 +15,7 @@ pre-tokens in a table of bounded size.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
@@ -129,7 +130,7 @@ _OTHER = "\ue000"
 class Encoder:
     """Text to token ids; twice ``remember`` bounds the table of recent pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pair: dict[int, int], pattern: str, remember: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pair: dict[int, int], pattern: str, remember: int = 100_000):
         self.table, self.pair, self.size, self.remember = table, pair, max(ranks.values()) + 1, remember
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         self.pattern, self.later = regex.compile(pattern), re.compile(f"[{LATER}]")
@@ -165,6 +166,32 @@ class Encoder:
         return out
 
 
+def _encoded(texts: pa.Array, encode: Encoder) -> pa.ListArray:
+    ids = [encode(t.as_py() or "") for t in texts]
+    offsets = np.zeros(len(ids) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))))
+
+
+def _decoded(lists: pa.Array, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
+    start, size, blob = table
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or not size[ids].all()):
+        raise ValueError("an id outside the vocabulary")
+    end = np.cumsum(size[ids])
+    data = blob[np.arange(end[-1] if len(end) else 0) + np.repeat(start[ids] - end + size[ids], size[ids])]
+    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    edge = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small parts of what arrives: a few long texts at a time are held twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Tokenizer:
     """Driver-side handle: reads the rank file once and ships it to executors."""
 
@@ -191,14 +218,8 @@ class Tokenizer:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encode = _worker(shared)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    ids = [encode(t.as_py() or "") for t in part.column(1)]
-                    offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-                    np.cumsum([len(x) for x in ids], out=offsets[1:])
-                    flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "ids"])
+            for part in _slices(batches):
+                yield pa.RecordBatch.from_arrays([part.column(0), _encoded(part.column(1), encode)], names=["doc", "ids"])
 
         found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc {kind}, ids array<int>")
         return found.withColumnRenamed("doc", id_col)
@@ -212,24 +233,35 @@ class Tokenizer:
         kind = tokens.schema[id_col].dataType.simpleString()
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            start, size, blob = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    lists = part.column(1)
-                    ids = lists.flatten().to_numpy(zero_copy_only=False)
-                    if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or not size[ids].all()):
-                        raise ValueError("an id outside the vocabulary")
-                    end = np.cumsum(size[ids])
-                    data = blob[np.arange(end[-1] if len(end) else 0) + np.repeat(start[ids] - end + size[ids], size[ids])]
-                    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                    edge = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])].astype(np.int32)
-                    texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(data.tobytes())])
-                    yield pa.RecordBatch.from_arrays([part.column(0), lists, texts], names=["doc", "ids", "data"])
+            for part in _slices(batches):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _decoded(part.column(1), shared.value)], names=["doc", "ids", "data"])
 
         found = tokens.select(F.col(id_col).alias("doc"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc {kind}, ids array<int>, data binary")
         return found.withColumnRenamed("doc", id_col)
 
+    def round_trip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+        """Rows (id, ids, n_tokens, ids_sha256, decoded_sha256): encoded and decoded again in one pass.
+
+        The same functions as ``encode`` and ``decode``, run on a few texts at a
+        time, so that tokens and decoded bytes need not travel between processes;
+        without ``keep_ids`` only their counts and digests leave the worker.
+        """
+        shared, pieces = self.shared, self.pieces
+        kind = docs.schema[id_col].dataType.simpleString()
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encode = _worker(shared)
+            for part in _slices(batches):
+                lists = _encoded(part.column(1), encode)
+                columns = [part.column(0), *([lists] if keep_ids else []), pc.cast(pc.list_value_length(lists), pa.int64())]
+                listed = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists.to_pylist()]
+                data = [hashlib.sha256(x.as_buffer()).hexdigest() for x in _decoded(lists, pieces.value)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(listed), pa.array(data)], names=["doc", *(["ids"] if keep_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        form = f"doc {kind}, {'ids array<int>, ' if keep_ids else ''}n_tokens long, ids_sha256 string, decoded_sha256 string"
+        found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, form)
+        return found.withColumnRenamed("doc", id_col)
+
 
 _ENCODERS: dict[int, Encoder] = {}
 

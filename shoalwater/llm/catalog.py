@@ -60,7 +60,7 @@ def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text, encoded and decoded again."""
     tokenizer = byte_bpe.Tokenizer(spark, RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.digests(tokenizer.decode(tokenizer.encode(documents(spark, sf_dir))))
+    return tokenizer.round_trip(documents(spark, sf_dir), keep_ids=False)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

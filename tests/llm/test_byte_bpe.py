@@ -50,4 +50,6 @@ def test_round_trip(spark, reference):
         ids = reference.encode_ordinary(t or "")
         want.append((i, len(ids), sha(",".join(map(str, ids))), sha(t or "")))
     assert got == sorted(want, key=str)
-    assert tokenizer.encode(docs.limit(0)).count() == 0
+    assert sorted(map(tuple, tokenizer.round_trip(docs, keep_ids=False).collect()), key=str) == got
+    assert {r.doc_id: len(r.ids) for r in tokenizer.round_trip(docs).collect()} == {w[0]: w[1] for w in want}
+    assert tokenizer.encode(docs.limit(0)).count() == 0 and tokenizer.round_trip(docs.limit(0)).count() == 0
