@@ -45,8 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with their count and the digest of the decoded bytes."""
     tokenizer = byte_bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = tokenizer.decode(tokenizer.encode(docs))
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("data", 256).alias("decoded_sha256"))
+    return tokenizer.round_trip(docs)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash", near), ("source_mix", mix), ("byte_bpe", tokens)]
