@@ -82,5 +82,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_secret_scan": secrets.ORACLE,
     "op4_url_lists": url_lists.ORACLE,
 }

@@ -103,3 +103,36 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.size(F.filter("all", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("all", lambda s: s["example"])).cast("long").alias("n_example"),
     )
+
+
+def _oracle() -> str:
+    """The registered query in DuckDB SQL."""
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = ((0, ASSIGN, 1), (1, ACCESS, 0), (2, HEX, 0), (3, PROVIDER, 0), (4, OPAQUE, 0))
+    found = "\n  UNION ALL\n  ".join(
+        f"SELECT doc_id, source, {k} AS kind, regexp_extract_all(t, {quote(p)}) AS w, regexp_extract_all(t, {quote(p)}, {g}) AS v, string_split_regex(t, {quote(p)}) AS b FROM d WHERE regexp_matches(t, {quote(p)})"
+        for k, p, g in kinds
+    )
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+e AS (SELECT doc_id, source, kind, w, v, b, unnest(generate_series(1, len(w))) AS i FROM m),
+f AS (
+  SELECT doc_id, source, kind, v[i] AS value, b[i] AS before, length(w[i]) AS size,
+         CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e),
+c AS (
+  SELECT *, len(list_distinct(string_split(left(value, 256), ''))) >= 8 AND NOT regexp_matches(value, '(?i)example|sample|dummy|changeme|placeholder|your|xxxx|0000|1234567') AS looks
+  FROM f WHERE CASE kind WHEN 0 THEN length(value) >= 6 WHEN 1 THEN length(value) >= 20 WHEN 2 THEN true WHEN 3 THEN NOT regexp_matches(right(before, 40), {quote(_LEAD + "$")})
+    ELSE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND NOT regexp_matches(right(before, 40), {quote(_LEAD + "$")})
+         AND NOT regexp_matches(value, {quote("AKIA|^(?:" + PROVIDER + ")")}) END),
+o AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners FROM c GROUP BY value),
+j AS (SELECT c.*, looks AND owners <= 2 AS live, owners > 2 AS example, list_extract({list(KINDS)}, kind + 1) || ':' || a || ':' || (a + size) AS span FROM c JOIN o ON o.value = c.value),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(span, ',' ORDER BY a, kind) FILTER (kind <= 2) AS base,
+         string_agg(span, ',' ORDER BY a, kind) FILTER (kind <= 2 OR live) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+ORACLE = _oracle()
