@@ -197,7 +197,7 @@ def paragraph_links(distinct: DataFrame, work: Scratch, width: int, threshold: f
     return full.mapInArrow(_verify(width, threshold, 1 << 40), "a long, b long")
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, width: int = 5, threshold: float = 0.8, most: int = 2048) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, width: int = 5, threshold: float = 0.8, most: int = 512) -> DataFrame:
     """One row for each paragraph that occurs, exactly or nearly, more than once.
 
     Columns: id, para_no (line number), start, end (code points), n_words,
