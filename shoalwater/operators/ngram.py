@@ -114,3 +114,31 @@ def train(texts: DataFrame, labels: DataFrame, sizes: tuple[int, int] = (1, 2),
     fitted = LogisticRegression(regParam=1.0 / (regularisation * max(n, 1)), maxIter=max_iter, standardization=False).fit(rows)
     coefs = fitted.coefficients.toArray()
     return Model(tuple((r.gram, round(r.idf, 8), round(float(c), 8)) for r, c in zip(listed, coefs)), round(float(fitted.intercept), 8), sizes)
+
+
+def folds(labels: DataFrame, n: int = 5) -> DataFrame:
+    """(req_id, label, fold): each label dealt evenly over the folds in order of a digest of the identifier."""
+    order = W.partitionBy("label").orderBy(F.sha2(F.col("req_id").cast("string"), 256), "req_id")
+    return labels.withColumn("fold", (F.row_number().over(order) - 1) % n)
+
+
+def grid_search(texts: DataFrame, labels: DataFrame, cells: list[tuple[tuple[int, int], int]], n_folds: int = 5, **options) -> DataFrame:
+    """(low, high, max_features, precision, recall, f1) of cross-validated cells, best first: by F1, then fewer features.
+
+    Each cell's folds are trained in turn; every training is distributed.
+    """
+    dealt = folds(labels, n_folds)
+    spark, out = texts.sparkSession, []
+    for (low, high), features in cells:
+        tp = fp = fn = 0
+        for k in range(n_folds):
+            own = texts.join(dealt.where(F.col("fold") != k).select("req_id"), "req_id", "left_semi")
+            model = train(own, dealt.where(F.col("fold") != k).select("req_id", "label"), (low, high), features, **options)
+            rest = texts.join(dealt.where(F.col("fold") == k).select("req_id"), "req_id", "left_semi")
+            hit = gram_scores(rest, model).join(dealt, "req_id").select((F.col("ngram_score") >= 0).alias("hit"), (F.col("label") == 1).alias("scam"))
+            r = hit.agg(F.count_if(F.col("hit") & F.col("scam")).alias("tp"), F.count_if(F.col("hit") & ~F.col("scam")).alias("fp"), F.count_if(~F.col("hit") & F.col("scam")).alias("fn")).first()
+            tp, fp, fn = tp + r.tp, fp + r.fp, fn + r.fn
+        precision, recall = tp / (tp + fp) if tp + fp else None, tp / (tp + fn) if tp + fn else None
+        out.append((low, high, features, precision, recall, 2 * tp / (2 * tp + fp + fn) if tp + fp + fn else None))
+    rows = spark.createDataFrame(out, "low int, high int, max_features int, precision double, recall double, f1 double")
+    return rows.orderBy(F.desc_nulls_last("f1"), "max_features")
