@@ -114,7 +114,7 @@ def merge(piece: list[int], pair: dict[int, int], size: int) -> list[int]:
     return [x for x in piece if x >= 0]
 
 
-#: Letters and numbers of Unicode versions after 16.0, which the reference splitter takes for other characters (fixed values).
+#: Letters and numbers of Unicode versions after 16.0, which the tiktoken library takes for other characters (fixed values).
 LATER = (
     "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
     "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1"

@@ -53,8 +53,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph that repeats, exactly or nearly, within or across documents."""
-    return paragraph_dedup.repeated_paragraphs(documents(spark, sf_dir))
+    """Every paragraph that repeats, exactly or nearly, and every passage that repeats inside lines."""
+    return paragraph_dedup.repeats(documents(spark, sf_dir))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

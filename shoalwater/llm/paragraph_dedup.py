@@ -7,6 +7,11 @@ the similarity threshold, are its keys.  Paragraphs that share a key are
 compared by exact Jaccard similarity of their shingle sets, and links close to
 clusters by connected components.  Of a cluster the first occurrence stays.
 
+A passage may also repeat inside longer lines that differ.  Windows of 25 words
+are picked by content (the least digest among every 26 neighbours), so any two
+copies of 50 words or more have a picked window in common wherever they stand;
+equal windows are repeats, and those of a document merge into passages.
+
 Plan.  Copies are eliminated map-side before the first shuffle of text.  Band
 rows are two integers; a key's members are found on a sorted stream, and keys
 with the same members are one group, so a pair that collides in many bands is
@@ -197,6 +202,91 @@ def paragraph_links(distinct: DataFrame, work: Scratch, width: int, threshold: f
     return full.mapInArrow(_verify(width, threshold, 1 << 40), "a long, b long")
 
 
+_WINDOW, _NEIGHBOURS = 25, 26
+_ANCHOR_NAMES = ["doc", "h", "g", "start", "end"]
+
+
+def anchors(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two digests, start and end (code points) of the picked windows of a text; none under 25 words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = len(words) - _WINDOW + 1
+    if n < 1:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))
+    base = np.uint64(0x9E3779B97F4A7C15)
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    fall = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words) - 1, inverse)]))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(h * fall)])
+    rise = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]))
+    mixed = (total[_WINDOW:] - total[:-_WINDOW]) * rise  # the same for equal words at any place
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(29)
+    near = min(n, _NEIGHBOURS)
+    picked = np.unique(np.lib.stride_tricks.sliding_window_view(mixed, near).argmin(axis=1) + np.arange(n - near + 1))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    solid = np.concatenate([[False], ~((codes == 32) | ((codes >= 9) & (codes <= 13))), [False]])
+    edge = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    other = (h[picked] * np.uint64(3) + h[picked + _WINDOW - 1] * np.uint64(5) + h[picked + _WINDOW // 2]) >> np.uint64(33)
+    return mixed[picked].view(np.int64), other.astype(np.int64), starts[picked], ends[picked + _WINDOW - 1]
+
+
+def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            found = [anchors(t.as_py() or "") for t in part.column(1)]
+            count = [len(f[0]) for f in found]
+            doc = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), count)))
+            h, g, start, end = (np.concatenate([f[i] for f in found]) for i in range(4))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(h), pa.array(g, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=_ANCHOR_NAMES)
+
+
+def repeated_passages(rows: DataFrame, work: Scratch) -> DataFrame:
+    """(doc, start, end, keep_doc, cluster_size, removed): merged windows of ``rows`` (doc, text) that occur more than once.
+
+    Of equal windows the first (by document, then place) stays; a document's
+    windows that stay and those that go merge separately where they overlap.
+    """
+    found = work.put(rows.mapInArrow(_anchor_rows, "doc long, h long, g int, start int, end int"), "anchors")
+    times = found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("keep")).where("n > 1")
+    shared = found.join(work.put(times, "anchor-times"), ["h", "g"])
+    first = F.col("doc").eqNullSafe(F.col("keep.doc")) & (F.col("start") == F.col("keep.start"))
+    span = F.struct("start", "end", F.col("keep.doc").alias("keep"), "n")
+    each = shared.groupBy("doc", (~first).alias("removed")).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    latest = F.transform("spans", lambda x: x["end"])
+    # Spans are sorted and of similar length, so one begins a passage where it starts after the end of the one before.
+    begins = F.filter(F.transform("spans", lambda x, i: F.when((i == 0) | (x["start"] > F.coalesce(F.get(latest, i - 1), F.lit(-1))), i)), lambda i: i.isNotNull())
+    each = each.withColumn("begins", begins)
+    each = each.select("doc", "removed", "spans", "begins", F.posexplode("begins").alias("k", "from"))
+    own = F.slice("spans", F.col("from") + 1, F.coalesce(F.get("begins", F.col("k") + 1), F.size("spans")) - F.col("from"))
+    each = each.select("doc", "removed", own.alias("own"))
+    return each.select(
+        "doc", F.get("own", F.lit(0))["start"].alias("start"), F.array_max(F.transform("own", lambda x: x["end"])).alias("end"), F.array_min(F.transform("own", lambda x: x["keep"])).alias("keep_doc"),
+        F.array_max(F.transform("own", lambda x: x["n"])).alias("cluster_size"), "removed",
+    )
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, width: int = 5, threshold: float = 0.8, most: int = 512) -> DataFrame:
+    """Repeated paragraphs (``kind`` paragraph, exact or near) and repeated passages inside lines (``kind`` passage, exact) in one table.
+
+    Columns as of ``repeated_paragraphs``, with para_no, n_words and
+    keep_para_no null for passages.  Passages of 50 words or more are always
+    found, shorter ones of 25 or more sometimes.  The same rules for nulls,
+    empty and long texts, ties, repeated rows and other columns.
+    """
+    work = Scratch(docs.sparkSession, "passages")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    lines = repeated_paragraphs(docs, id_col, text_col, min_words, width, threshold, most).withColumn("kind", F.lit("paragraph"))
+    inside = repeated_passages(rows, work).select(
+        F.col("doc").alias(id_col), F.lit(None).cast("int").alias("para_no"), "start", "end", F.lit(None).cast("int").alias("n_words"), F.col("keep_doc").alias("keep_doc_id"),
+        F.lit(None).cast("int").alias("keep_para_no"), "cluster_size", "removed", F.lit("passage").alias("kind"),
+    )
+    return lines.unionByName(inside)
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, width: int = 5, threshold: float = 0.8, most: int = 512) -> DataFrame:
     """One row for each paragraph that occurs, exactly or nearly, more than once.
 
@@ -221,6 +311,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cluster = rooted.groupBy("root").agg(F.sum("n").alias("cluster_size"), F.min("first").alias("keep")).where("cluster_size > 1")
     cluster = work.put(cluster, "cluster")
     named = work.put(rooted.join(cluster, "root").select("digest", "cluster_size", "keep"), "named")
+    work.drop("groups", "members", "distinct", "rooted", "member", "cluster")
     first = F.col("doc").eqNullSafe(F.col("keep.doc")) & (F.col("no") == F.col("keep.no"))
     return found.join(named, "digest").select(
         F.col("doc").alias(id_col), F.col("no").alias("para_no"), "start", "end", "n_words",

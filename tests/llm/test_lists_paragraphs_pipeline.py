@@ -79,6 +79,30 @@ def test_paragraphs(spark):
     assert para.repeated_paragraphs(df.limit(0)).count() == 0
 
 
+def test_passages_inside_lines(spark):
+    rng = random.Random(8)
+    word = lambda: "v%d" % rng.randrange(100_000)
+    passage = [[word() for _ in range(n)] for n in (50, 51, 70)]
+    rows, want = [], {}
+    for i in range(40):
+        own = [word() for _ in range(rng.randrange(0, 120))]
+        k = i % 4
+        if k < 3:
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = passage[k]
+        rows.append((i, rng.choice([" ", "  ", "\n"]).join(own), "x"))
+        want[i] = k < 3
+    rows += [(100, None, "x"), (101, "", "x"), (102, "one two", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start string")
+    got = para.repeats(df).where("kind = 'passage'").collect()
+    texts = {i: t for i, t, _ in rows}
+    assert {r.doc_id for r in got} == {i for i, w in want.items() if w}
+    for r in got:
+        words = [w for w in texts[r.doc_id][r.start : r.end].split()]
+        assert 25 <= len(words) <= 70 and words[0] in passage[r.doc_id % 4] and words[-1] in passage[r.doc_id % 4] and r.keep_doc_id % 4 == r.doc_id % 4
+    assert para.repeats(df.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     """Each stage against a plain version, on its own input."""
     rng = random.Random(9)
