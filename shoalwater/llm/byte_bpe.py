@@ -95,22 +95,27 @@ def joins(ranks: dict[bytes, int]) -> dict[int, int]:
 def merge(piece: list[int], pair: dict[int, int], size: int) -> list[int]:
     """Merge neighbouring ids (at first one for each byte) until no two neighbours join."""
     n, get = len(piece), pair.get
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [r * n + i for i in range(n - 1) if (r := get(piece[i] * size + piece[i + 1])) is not None]
+    rank = [get(a * size + b) for a, b in zip(piece, piece[1:])]  # of the pair that begins here, while there is one
+    rank.append(None)
+    heap = [r * n + i for i, r in enumerate(rank) if r is not None]
     heapq.heapify(heap)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
         r, i = divmod(heapq.heappop(heap), n)
-        j = after[i]
-        if piece[i] < 0 or j >= n or get(piece[i] * size + piece[j]) != r:
+        if rank[i] != r:
             continue  # one of the two has been merged since
-        k, h = after[j], before[i]
-        piece[i], piece[j], after[i] = r, -1, k
+        j, h = after[i], before[i]
+        after[i] = k = after[j]
+        piece[i], piece[j], rank[j], rank[i] = r, -1, None, None
         if k < n:
             before[k] = i
             if (s := get(r * size + piece[k])) is not None:
+                rank[i] = s
                 heapq.heappush(heap, s * n + i)
-        if h >= 0 and (s := get(piece[h] * size + r)) is not None:
-            heapq.heappush(heap, s * n + h)
+        if h >= 0:
+            rank[h] = s = get(piece[h] * size + r)
+            if s is not None:
+                heapq.heappush(heap, s * n + h)
     return [x for x in piece if x >= 0]
 
 
@@ -130,9 +135,10 @@ _OTHER = "\ue000"
 class Encoder:
     """Text to token ids; twice ``remember`` bounds the table of recent pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pair: dict[int, int], pattern: str, remember: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pair: dict[int, int], pattern: str, remember: int = 250_000):
         self.table, self.pair, self.size, self.remember = table, pair, max(ranks.values()) + 1, remember
         self.bytes = [ranks[bytes([b])] for b in range(256)]
+        self.shared = list(range(self.size))  # one object for each id, however often it is remembered
         self.pattern, self.later = regex.compile(pattern), re.compile(f"[{LATER}]")
         self.recent: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -149,7 +155,8 @@ class Encoder:
         if ids is None:
             data = token.encode("utf-8", "surrogatepass")
             rank = self.table.get(data)
-            ids = (rank,) if rank is not None else tuple(merge([self.bytes[b] for b in data], self.pair, self.size))
+            found = [rank] if rank is not None else merge([self.bytes[b] for b in data], self.pair, self.size)
+            ids = tuple([self.shared[i] for i in found])
         if len(token) <= 64:
             if len(self.recent) >= self.remember:
                 self.older, self.recent = self.recent, {}
@@ -157,17 +164,18 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> list[int]:
-        known, one = self.recent.get, self.one
-        out: list[int] = []
-        for t in self.split(text):
-            if (ids := known(t)) is None:
-                ids, known = one(t), self.recent.get
-            out += ids
-        return out
+        tokens = self.split(text)
+        found = list(map(self.recent.get, tokens))
+        if None in found:
+            found = [self.recent.get(t) or self.one(t) if ids is None else ids for t, ids in zip(tokens, found, strict=True)]
+        return list(chain.from_iterable(found))
 
 
 def _encoded(texts: pa.Array, encode: Encoder) -> pa.ListArray:
-    ids = [encode(t.as_py() or "") for t in texts]
+    return _lists([encode(t.as_py() or "") for t in texts])
+
+
+def _lists(ids: list[list[int]]) -> pa.ListArray:
     offsets = np.zeros(len(ids) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))))
@@ -251,10 +259,12 @@ class Tokenizer:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encode = _worker(shared)
+            decimal = list(map(str, range(encode.size)))
             for part in _slices(batches):
-                lists = _encoded(part.column(1), encode)
+                ids = [encode(t.as_py() or "") for t in part.column(1)]
+                lists = _lists(ids)
                 columns = [part.column(0), *([lists] if keep_ids else []), pc.cast(pc.list_value_length(lists), pa.int64())]
-                listed = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists.to_pylist()]
+                listed = [hashlib.sha256(",".join([decimal[i] for i in x]).encode()).hexdigest() for x in ids]
                 data = [hashlib.sha256(x.as_buffer()).hexdigest() for x in _decoded(lists, pieces.value)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(listed), pa.array(data)], names=["doc", *(["ids"] if keep_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
 
