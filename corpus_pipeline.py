@@ -39,7 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = source_mix.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
     taken = Scratch(spark, "mix-stage").put(taken, "taken")
     often = F.sequence(F.lit(1).cast("long"), F.col("copies"))
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(often)).select(*docs.columns)
+    # A row for each document: joined by sorting at every size, never broadcast.
+    return docs.join(taken.hint("merge"), "doc_id").withColumn("copy", F.explode(often)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
