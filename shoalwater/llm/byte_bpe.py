@@ -135,7 +135,7 @@ _OTHER = "\ue000"
 class Encoder:
     """Text to token ids; twice ``remember`` bounds the table of recent pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pair: dict[int, int], pattern: str, remember: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pair: dict[int, int], pattern: str, remember: int = 150_000):
         self.table, self.pair, self.size, self.remember = table, pair, max(ranks.values()) + 1, remember
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         self.shared = list(range(self.size))  # one object for each id, however often it is remembered
