@@ -256,9 +256,8 @@ def repeated_passages(rows: DataFrame, work: Scratch) -> DataFrame:
     first = F.col("doc").eqNullSafe(F.col("keep.doc")) & (F.col("start") == F.col("keep.start"))
     span = F.struct("start", "end", F.col("keep.doc").alias("keep"), "n")
     each = shared.groupBy("doc", (~first).alias("removed")).agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    latest = F.transform("spans", lambda x: x["end"])
     # Spans are sorted and of similar length, so one begins a passage where it starts after the end of the one before.
-    begins = F.filter(F.transform("spans", lambda x, i: F.when((i == 0) | (x["start"] > F.coalesce(F.get(latest, i - 1), F.lit(-1))), i)), lambda i: i.isNotNull())
+    begins = F.filter(F.transform("spans", lambda x, i: F.when((i == 0) | (x["start"] > F.coalesce(F.get("spans", i - 1)["end"], F.lit(-1))), i)), lambda i: i.isNotNull())
     each = each.withColumn("begins", begins)
     each = each.select("doc", "removed", "spans", "begins", F.posexplode("begins").alias("k", "from"))
     own = F.slice("spans", F.col("from") + 1, F.coalesce(F.get("begins", F.col("k") + 1), F.size("spans")) - F.col("from"))
