@@ -10,7 +10,8 @@ clusters by connected components.  Of a cluster the first occurrence stays.
 A passage may also repeat inside longer lines that differ.  Windows of 25 words
 are picked by content (the least digest among every 26 neighbours), so any two
 copies of 50 words or more have a picked window in common wherever they stand;
-equal windows are repeats, and those of a document merge into passages.
+equal windows are seeds, which grow word by word, both ways, to the whole of
+what their two texts have in common; a document's runs merge into passages.
 
 Plan.  Copies are eliminated map-side before the first shuffle of text.  Band
 rows are two integers; a key's members are found on a sorted stream, and keys
@@ -30,7 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalwater.llm.buckets import breadth_first, sorted_groups
@@ -203,16 +204,16 @@ def paragraph_links(distinct: DataFrame, work: Scratch, width: int, threshold: f
 
 
 _WINDOW, _NEIGHBOURS = 25, 26
-_ANCHOR_NAMES = ["doc", "h", "g", "start", "end"]
+_ANCHOR_NAMES = ["row", "doc", "h", "g", "w"]
 
 
-def anchors(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two digests, start and end (code points) of the picked windows of a text; none under 25 words."""
+def anchors(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two digests and the first word's number of the picked windows of a text; none under 25 words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(words) - _WINDOW + 1
     if n < 1:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
+        return none, none, none
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))
     base = np.uint64(0x9E3779B97F4A7C15)
@@ -225,47 +226,123 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     mixed ^= mixed >> np.uint64(29)
     near = min(n, _NEIGHBOURS)
     picked = np.unique(np.lib.stride_tricks.sliding_window_view(mixed, near).argmin(axis=1) + np.arange(n - near + 1))
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    solid = np.concatenate([[False], ~((codes == 32) | ((codes >= 9) & (codes <= 13))), [False]])
-    edge = np.flatnonzero(solid[1:] != solid[:-1])
-    starts, ends = edge[::2], edge[1::2]
     other = (h[picked] * np.uint64(3) + h[picked + _WINDOW - 1] * np.uint64(5) + h[picked + _WINDOW // 2]) >> np.uint64(33)
-    return mixed[picked].view(np.int64), other.astype(np.int64), starts[picked], ends[picked + _WINDOW - 1]
+    return mixed[picked].view(np.int64), other.astype(np.int64), picked
 
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            found = [anchors(t.as_py() or "") for t in part.column(1)]
-            count = [len(f[0]) for f in found]
-            doc = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), count)))
-            h, g, start, end = (np.concatenate([f[i] for f in found]) for i in range(4))
-            yield pa.RecordBatch.from_arrays([doc, pa.array(h), pa.array(g, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=_ANCHOR_NAMES)
+            found = [anchors(t.as_py() or "") for t in part.column(2)]
+            of = pa.array(np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found]))
+            h, g, w = (np.concatenate([f[i] for f in found]) for i in range(3))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(h), pa.array(g, pa.int32()), pa.array(w, pa.int32())], names=_ANCHOR_NAMES)
 
 
-def repeated_passages(rows: DataFrame, work: Scratch) -> DataFrame:
-    """(doc, start, end, keep_doc, cluster_size, removed): merged windows of ``rows`` (doc, text) that occur more than once.
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (code points) of every word of a text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    solid = np.concatenate([[False], ~((codes == 32) | ((codes >= 9) & (codes <= 13))), [False]])
+    edge = np.flatnonzero(solid[1:] != solid[:-1])
+    return edge[::2], edge[1::2]
+
+
+def _agree(a: list[bytes], b: list[bytes], i: int, j: int) -> int:
+    """How many words from ``a[i]`` and ``b[j]`` on are equal."""
+    n, step = 0, 64
+    while step:
+        x = a[i + n : i + n + step]
+        if len(x) == step and x == b[j + n : j + n + step]:
+            n += step
+        else:
+            step //= 2
+    return n
+
+
+def matches(words: list[bytes], other: list[bytes], seeds: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(word, other's word, words, times) of the longest common runs around shared windows (word, other's word, times)."""
+    back, other_back = words[::-1], other[::-1]
+    found: dict[tuple[int, int], list[int]] = {}
+    last: dict[int, tuple[int, int]] = {}  # the run last found at each distance
+    for i, j, n in sorted(seeds):
+        start, end = last.get(i - j, (0, 0))
+        if i >= end:
+            after = _agree(words, other, i, j)
+            if after < _WINDOW:  # digests that only look alike
+                continue
+            before = _agree(back, other_back, len(words) - i, len(other) - j)
+            start, end = last[i - j] = (i - before, i + after)
+        run = found.setdefault((start, start - i + j), [end - start, n])
+        run[1] = max(run[1], n)
+    for (i, j), (size, n) in found.items():
+        yield i, j, size, n
+
+
+_SPANS = "row long, doc long, start int, end int, keep_doc long, n long, removed boolean"
 
-    Of equal windows the first (by document, then place) stays; a document's
-    windows that stay and those that go merge separately where they overlap.
+
+def _extended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both sides' spans of the runs that pairs of texts have in common."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["row", "doc", "start", "end", "keep_doc", "n", "removed"]
+    split = lambda t: t.encode("utf-8", "surrogatepass").lower().split()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            out: list[list] = [[] for _ in names]
+            for row, doc, keep_row, keep_doc, seeds, text, keep_text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                words, (starts, ends) = split(text), word_places(text)
+                other, (keep_starts, keep_ends) = (words, (starts, ends)) if row == keep_row else (split(keep_text), word_places(keep_text))
+                spans = []
+                for i, j, n, times in matches(words, other, [(s["w"], s["keep_w"], s["n"]) for s in seeds]):
+                    kept = n
+                    if row == keep_row and i != j:  # of a run that overlaps itself the first period stays
+                        kept = min(n, i - j)
+                    if row != keep_row or i != j:
+                        spans.append((row, doc, int(starts[i]), int(ends[i + n - 1]), keep_doc, times, True))
+                    spans.append((keep_row, keep_doc, int(keep_starts[j]), int(keep_ends[j + kept - 1]), keep_doc, times, False))
+                for span in spans:
+                    for column, x in zip(out, span, strict=True):
+                        column.append(x)
+            yield _rows(out, kinds, names)
+
+
+def repeated_passages(rows: DataFrame, work: Scratch) -> DataFrame:
+    """(doc, start, end, keep_doc, cluster_size, removed): passages of ``rows`` (doc, text) that occur more than once.
+
+    Of equal windows the first (by document, then place) stays.  Each other one
+    is a seed: from it the two texts are compared word by word both ways, to the
+    ends of what they have in common.  A document's passages that stay and
+    those that go merge separately where they overlap.  What a document shares
+    with a later one only, beyond what both share with the first, is found from
+    26 words on; ``cluster_size`` counts the copies of the commonest window.
     """
-    found = work.put(rows.mapInArrow(_anchor_rows, "doc long, h long, g int, start int, end int"), "anchors")
-    times = found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("keep")).where("n > 1")
+    rows = rows.select(F.xxhash64("doc", "text").alias("row"), "doc", "text")  # equal for rows repeated whole only
+    found = work.put(rows.mapInArrow(_anchor_rows, "row long, doc long, h long, g int, w int"), "anchors")
+    place = F.struct("doc", "row", "w")
+    times = found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("keep"), F.max(place).alias("last")).where("n > 1")
     shared = found.join(work.put(times, "anchor-times"), ["h", "g"])
-    first = F.col("doc").eqNullSafe(F.col("keep.doc")) & (F.col("start") == F.col("keep.start"))
-    span = F.struct("start", "end", F.col("keep.doc").alias("keep"), "n")
-    each = shared.groupBy("doc", (~first).alias("removed")).agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    # Spans are sorted and of similar length, so one begins a passage where it starts after the end of the one before.
-    begins = F.filter(F.transform("spans", lambda x, i: F.when((i == 0) | (x["start"] > F.coalesce(F.get("spans", i - 1)["end"], F.lit(-1))), i)), lambda i: i.isNotNull())
-    each = each.withColumn("begins", begins)
-    each = each.select("doc", "removed", "spans", "begins", F.posexplode("begins").alias("k", "from"))
-    own = F.slice("spans", F.col("from") + 1, F.coalesce(F.get("begins", F.col("k") + 1), F.size("spans")) - F.col("from"))
-    each = each.select("doc", "removed", own.alias("own"))
-    return each.select(
-        "doc", F.get("own", F.lit(0))["start"].alias("start"), F.array_max(F.transform("own", lambda x: x["end"])).alias("end"), F.array_min(F.transform("own", lambda x: x["keep"])).alias("keep_doc"),
-        F.array_max(F.transform("own", lambda x: x["n"])).alias("cluster_size"), "removed",
-    )
+    first = (F.col("row") == F.col("keep.row")) & (F.col("w") == F.col("keep.w"))
+    twins = F.col("last").eqNullSafe(F.col("keep"))  # all of them in one row that is repeated whole
+    seed = F.struct("w", F.col("keep.w").alias("keep_w"), "n")
+    pairs = shared.where(~first | twins).groupBy("row", "doc", F.col("keep.row").alias("keep_row"), F.col("keep.doc").alias("keep_doc")).agg(F.collect_set(seed).alias("seeds"))
+    pairs = work.put(pairs, "pairs")
+    work.drop("anchors", "anchor-times")
+    need = pairs.select("row").union(pairs.select("keep_row")).distinct()
+    texts = work.put(rows.select("row", "text").join(need, "row", "left_semi").dropDuplicates(["row"]), "pair-texts")
+    keep_texts = texts.select(F.col("row").alias("keep_row"), F.col("text").alias("keep_text"))
+    both = pairs.join(texts, "row").join(keep_texts, "keep_row").select("row", "doc", "keep_row", "keep_doc", "seeds", "text", "keep_text")
+    spans = both.mapInArrow(_extended, _SPANS).groupBy("row", "doc", "removed", "start", "end").agg(F.min("keep_doc").alias("keep_doc"), F.max("n").alias("n"))
+    spans = work.put(spans, "spans")
+    work.drop("pairs", "pair-texts")
+    order = Window.partitionBy("row", "removed").orderBy("start", "end")
+    begins = F.col("start") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    each = spans.withColumn("begins", begins).withColumn("no", F.count_if("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    each = each.groupBy("row", "doc", "removed", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("keep_doc").alias("keep_doc"), F.max("n").alias("cluster_size"))
+    # What stays for one window may go for another: then it goes.
+    gone = F.max(F.when(F.col("removed"), F.col("end"))).over(Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("gone", F.coalesce(gone, F.lit(-1))).where(F.col("removed") | (F.col("gone") < F.col("end")))
+    return each.select("doc", "start", "end", "keep_doc", "cluster_size", "removed")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, width: int = 5, threshold: float = 0.8, most: int = 512) -> DataFrame:
@@ -273,7 +350,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
     Columns as of ``repeated_paragraphs``, with para_no, n_words and
     keep_para_no null for passages.  Passages of 50 words or more are always
-    found, shorter ones of 25 or more sometimes.  The same rules for nulls,
+    found, shorter ones of 25 or more sometimes; what is found is the whole
+    passage.  The same rules for nulls,
     empty and long texts, ties, repeated rows and other columns.
     """
     work = Scratch(docs.sparkSession, "passages")

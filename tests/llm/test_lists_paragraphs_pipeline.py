@@ -103,6 +103,31 @@ def test_passages_inside_lines(spark):
     assert para.repeats(df.limit(0)).count() == 0
 
 
+def test_passages_are_whole(spark):
+    """Passages in random contexts come out from their first word to their last."""
+    rng = random.Random(12)
+    word = lambda: "v%d" % rng.randrange(100_000_000)
+    passage = [[word() for _ in range(n)] for n in (50, 60, 100, 300)]
+    rows, want = [], set()
+    for i in range(24):
+        k, before, after = i % 4, [word() for _ in range(rng.randrange(60))], [word() for _ in range(rng.randrange(60))]
+        head, inside = "é ".join(before + [""]), "  ".join(passage[k])
+        rows.append((i, head + inside + "\n" + " ".join(after)))
+        want.add((i, len(head), len(head) + len(inside), k, 6, i >= 4))
+    period = [word() for _ in range(60)]
+    rows += [(50, " ".join(period * 3)), (60, "x y " + " ".join(passage[0])), (60, " ".join(passage[1])), (None, "z " + " ".join(passage[3]))]
+    n = len(" ".join(period))
+    want |= {(50, 0, n, 50, 3, False), (50, n + 1, 3 * n + 2, 50, 3, True)}
+    sizes = [len(" ".join(p)) for p in passage]
+    want |= {(60, 4, 4 + sizes[0], 0, 7, True), (60, 0, sizes[1], 1, 7, True), (None, 2, 2 + sizes[3], None, 7, False)}
+    # One more copy of three passages; the one with a null id comes first.
+    more = {0: 0, 1: 1, 3: None}
+    want = {w if w[4] != 6 or w[0] % 4 == 2 else (*w[:3], more[w[0] % 4], 7, w[5] or w[0] == 3) for w in want}
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    got = [tuple(r) for r in para.repeated_passages(df, para.Scratch(spark, "test")).select("doc", "start", "end", "keep_doc", "cluster_size", "removed").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_pipeline(spark):
     """Each stage against a plain version, on its own input."""
     rng = random.Random(9)
