@@ -9,7 +9,7 @@ columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoalwater.llm import byte_bpe, exact_dedup, language_id, simhash, source_mix
@@ -22,25 +22,50 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs, prototypes)
 
 
+def numbered(docs: DataFrame, work: Scratch) -> DataFrame:
+    """``docs`` with a written row number and its place: by id (null first), then text, then number.  Ids may be null or repeated."""
+    rows = work.put(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    return rows.withColumn("_place", F.struct("doc_id", F.xxhash64("text").alias("text"), "_row"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the longest original stays."""
-    gone = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(Scratch(spark, "exact-stage").put(gone, "gone"), "doc_id", "left_anti")
+    """Of documents with equal texts the longest original stays, one row of it."""
+    work = Scratch(spark, "exact-stage")
+    rows = numbered(docs, work)
+    gone = work.put(exact_dedup.exact_duplicates(rows, "_place").where("not kept").select("_place._row"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(Scratch(spark, "near-stage").put(gone, "gone"), "doc_id", "left_anti")
+    """Of each group of near-duplicates the document with the smallest id stays; a null id only if all are null."""
+    work = Scratch(spark, "near-stage")
+    rows = numbered(docs, work)
+    found = work.put(simhash.near_duplicates(rows, "_row").select("_row", "component_id"), "found")
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    member = work.put(found.join(several, "component_id").join(rows.select("_row", "_place"), "_row"), "member")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("_place.doc_id").isNull(), "_place")).alias("first"))
+    first = first.select("component_id", F.col("first._place._row").alias("stays"))
+    gone = work.put(member.join(first, "component_id").where("_row <> stays").select("_row"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document is there as often as the mix takes it."""
-    taken = source_mix.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    taken = Scratch(spark, "mix-stage").put(taken, "taken")
-    often = F.sequence(F.lit(1).cast("long"), F.col("copies"))
+    """Sources at their target weights: a document is there as often as the mix takes it.
+
+    Rows of one id, source and size are alike to the mix: their decisions go to
+    them in the order of their texts, one each.
+    """
+    def alike(size: Column) -> Column:
+        return F.xxhash64(F.col("doc_id").cast("long"), "source", size.cast("long")).alias("_alike")
+
+    taken = source_mix.mix_sources(docs).select(alike(F.col("size")), "copies").groupBy("_alike").agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
+    taken = Scratch(spark, "mix-stage").put(taken.where(F.array_max("_copies") > 0), "taken")
     # A row for each document: joined by sorting at every size, never broadcast.
-    return docs.join(taken.hint("merge"), "doc_id").withColumn("copy", F.explode(often)).select(*docs.columns)
+    each = docs.withColumn("_alike", alike(source_mix.word_count(F.col("text")))).join(taken.hint("merge"), "_alike")
+    nth = F.row_number().over(Window.partitionBy("_alike").orderBy(F.xxhash64("text")))
+    each = each.withColumn("_nth", nth).withColumn("_often", F.get("_copies", F.col("_nth") - 1))
+    often = F.sequence(F.lit(1).cast("long"), F.col("_often"))
+    return each.where("_often > 0").withColumn("_copy", F.explode(often)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,3 +161,25 @@ def test_pipeline(spark):
     own = {r.doc_id: r.text for r in before.collect()}
     for r in corpus_pipeline.STAGES[-1][1](spark, before, "").collect():
         assert list(r.ids) == plain.encode_ordinary(own[r.doc_id]) and r.decoded_sha256 == sha(own[r.doc_id])
+
+
+def test_pipeline_ids(spark):
+    """Null and repeated ids, and rows repeated whole."""
+    text = lambda n: " ".join(f"word{n}x{i}" for i in range(60))
+    rows = [(5, "a b", "s"), (5, "ab", "s"), (None, "c d", "s"), (None, "cd", "t"), (6, "e", "s"), (6, "e", "s"), (None, "f", "s"), (7, "f", "s"), (8, None, "s"), (8, None, "s")]
+    schema = "doc_id long, text string, source string"
+    run = lambda stage, some, parts=3: sorted(map(tuple, stage(spark, spark.createDataFrame(some, schema).repartition(parts), "").collect()), key=repr)
+    for parts in (1, 3):
+        got = run(corpus_pipeline.exact, rows, parts)
+        assert got == sorted([(5, "a b", "s"), (None, "c d", "s"), (6, "e", "s"), (None, "f", "s"), (8, None, "s")], key=repr)
+    rows = [(9, text(1), "s"), (None, text(1), "s"), (9, text(2), "s"), (None, text(3), "s"), (None, text(3), "s"), (4, text(4), "s"), (4, text(4), "s"), (3, text(2).upper(), "s")]
+    assert run(corpus_pipeline.near, rows) == sorted([(9, text(1), "s"), (3, text(2).upper(), "s"), (None, text(3), "s"), (4, text(4), "s")], key=repr)
+    # The mix takes 150 % of the words; of each source the whole part for every row, the rest for some.
+    rows = [(None if i % 3 == 0 else i // 4, f"{i} " * (5 + i % 3), "st"[i % 2]) for i in range(60)] + [(1, "r r r", "s")] * 6
+    want = corpus_pipeline.source_mix.mix_sources(spark.createDataFrame(rows, schema)).groupBy("doc_id", "source", "size").agg(corpus_pipeline.F.sum("copies")).collect()
+    got = run(corpus_pipeline.mix, rows)
+    assert got == run(corpus_pipeline.mix, rows, 7) and set(got) <= set(rows)
+    for doc, source, size, n in want:
+        alike = [r for r in rows if (r[0], r[2], len(r[1].split())) == (doc, source, size)]
+        assert sum((r[0], r[2], len(r[1].split())) == (doc, source, size) for r in got) == n
+        assert {g: got.count(g) for g in alike} and all(got.count(g) <= 2 * alike.count(g) for g in alike)
