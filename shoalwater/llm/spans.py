@@ -2,8 +2,9 @@
 
 Spark's regex functions return matched text, not offsets.  Splitting the text
 at the same pattern gives what lies between the matches, so offsets are running
-sums of lengths (in code points).  The sums are taken in chunks, which keeps
-a text with very many matches linear in their number.
+sums of lengths (in code points).  Every array that a later step reads is bound
+once, and the sums are taken in chunks of chunks, so a text costs time in
+proportion to its length and its number of matches.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Matches per chunk of running sums.
-CHUNK = 128
+#: Elements in a chunk of running sums, and how often sums of chunks are chunked again.
+CHUNK, LEVELS = 32, 3
 
 
 def ignoring_case(words: str) -> str:
@@ -22,19 +23,28 @@ def ignoring_case(words: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if "a" <= c <= "z" else c for c in words)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` is evaluated once however often it is used."""
+    return F.transform(F.array(value), lambda own: use(own))[0]
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
-def _offsets(steps: Column) -> Column:
-    """Exclusive running sums of an array of int."""
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda c: F.slice(steps, c * CHUNK + 1, F.lit(CHUNK)))
+def _offsets(steps: Column, levels: int = LEVELS) -> Column:
+    """Exclusive running sums of a bound array of int."""
+    short = F.transform(steps, lambda _, i: _sum(F.slice(steps, F.lit(1), i)))
+    if not levels:
+        return short
 
-    def inner(chunks: Column) -> Column:
-        totals = F.transform(chunks, _sum)
-        return F.flatten(F.transform(chunks, lambda own, c: F.transform(own, lambda _, i: _sum(F.slice(totals, F.lit(1), c)) + _sum(F.slice(own, F.lit(1), i)))))
+    def chunked(chunks: Column) -> Column:
+        return bound(F.transform(chunks, _sum), lambda totals: bound(_offsets(totals, levels - 1), lambda before: F.flatten(F.transform(chunks, lambda own, c: bound(
+            F.get(before, c), lambda base: F.transform(own, lambda _, i: base + _sum(F.slice(own, F.lit(1), i))))))))
 
-    return inner(chunks)
+    n = F.floor((F.size(steps) - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), n), lambda c: F.slice(steps, c * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(F.size(steps) <= CHUNK, short).otherwise(bound(chunks, chunked))
 
 
 def matches(text: Column, pattern: str, make: Callable[[Column, Column, Column, Column, Column], Column], kind: str, group: int = 0, hint: Column | None = None) -> Column:
@@ -47,13 +57,19 @@ def matches(text: Column, pattern: str, make: Callable[[Column, Column, Column,
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    rows = F.arrays_zip(whole.alias("whole"), value.alias("value"), F.transform(whole, lambda _, i: F.get(between, i)).alias("before"), F.transform(whole, lambda _, i: F.get(between, i + 1)).alias("after"))
-    # One evaluation of the zipped rows for all that follows.
-    found = F.transform(F.array(rows), lambda r: F.transform(
-        F.arrays_zip(r.alias("r"), _offsets(F.transform(r, lambda x: F.length(x["before"]) + F.length(x["whole"]))).alias("at")),
-        lambda z: make(z["at"] + F.length(z["r"]["before"]), z["at"] + F.length(z["r"]["before"]) + F.length(z["r"]["whole"]), z["r"]["value"], z["r"]["before"], z["r"]["after"]),
-    ))[0]
+
+    def zipped(between: Column) -> Column:
+        n = F.size(between) - 1
+        return F.arrays_zip(whole.alias("whole"), value.alias("value"), F.slice(between, F.lit(1), n).alias("before"), F.slice(between, F.lit(2), n).alias("after"))
+
+    def placed(rows: Column) -> Column:
+        steps = F.transform(rows, lambda x: F.length(x["before"]) + F.length(x["whole"]))
+        return F.transform(
+            F.arrays_zip(rows.alias("r"), bound(steps, _offsets).alias("at")),
+            lambda z: make(z["at"] + F.length(z["r"]["before"]), z["at"] + F.length(z["r"]["before"]) + F.length(z["r"]["whole"]), z["r"]["value"], z["r"]["before"], z["r"]["after"]),
+        )
+
+    found = bound(bound(F.split(text, pattern, -1), zipped), placed)
     can = F.regexp_like(text, F.lit(pattern)) if hint is None else hint & F.regexp_like(text, F.lit(pattern))
     return F.when(can, found).otherwise(F.array().cast(kind))
 

@@ -15,7 +15,7 @@ PIECES = [
 def texts():
     rng = random.Random(5)
     made = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(0, 14))) for _ in range(400)]
-    return [None, "", "   ", *made, "1" * 60_000, "a1" * 60_000, "x@" * 30_000, "+1 " * 20_000, "a@b.c " * 700, "token=abcdef1 " * 700]
+    return [None, "", "   ", *made, "1" * 60_000, "a1" * 60_000, "x@" * 30_000, "+1 " * 20_000, "a@b.c " * 100_000, "token=abcdef1 " * 100_000, "1.2.3.4 +1 743 5553824 4111111111111111," * 20_000]
 
 
 @pytest.fixture(scope="module")
