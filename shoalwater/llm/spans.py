@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Elements in a chunk of running sums, and how often sums of chunks are chunked again.
-CHUNK, LEVELS = 32, 3
+CHUNK, LEVELS = 64, 2
 
 
 def ignoring_case(words: str) -> str:
@@ -23,55 +23,46 @@ def ignoring_case(words: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if "a" <= c <= "z" else c for c in words)
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, where ``value`` is evaluated once however often it is used."""
-    return F.transform(F.array(value), lambda own: use(own))[0]
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+def _bound(value: str, name: str, use: str) -> str:
+    """SQL of ``use``, in which ``name`` stands for ``value`` and is evaluated once."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
 
-def _offsets(steps: Column, levels: int = LEVELS) -> Column:
-    """Exclusive running sums of a bound array of int."""
-    short = F.transform(steps, lambda _, i: _sum(F.slice(steps, F.lit(1), i)))
+def _offsets(steps: str, levels: int = LEVELS) -> str:
+    """SQL of the exclusive running sums of a bound array of int."""
+    total = lambda values: f"aggregate({values}, 0, (a, y) -> a + y)"
+    short = f"transform({steps}, (y, i) -> {total(f'slice({steps}, 1, i)')})"
     if not levels:
         return short
+    chunks, totals, before = (f"{name}{levels}" for name in ("chunks", "totals", "before"))
+    own = f"transform(own, (y, i) -> base + {total('slice(own, 1, i)')})"
+    each = f"flatten(transform({chunks}, (own, c) -> {_bound(f'get({before}, c)', 'base', own)}))"
+    sums = _bound(f"transform({chunks}, own -> {total('own')})", totals, _bound(_offsets(totals, levels - 1), before, each))
+    cut = f"transform(sequence(0, cast((size({steps}) - 1) div {CHUNK} as int)), c -> slice({steps}, c * {CHUNK} + 1, {CHUNK}))"
+    return f"case when size({steps}) <= {CHUNK} then {short} else {_bound(cut, chunks, sums)} end"
 
-    def chunked(chunks: Column) -> Column:
-        return bound(F.transform(chunks, _sum), lambda totals: bound(_offsets(totals, levels - 1), lambda before: F.flatten(F.transform(chunks, lambda own, c: bound(
-            F.get(before, c), lambda base: F.transform(own, lambda _, i: base + _sum(F.slice(own, F.lit(1), i))))))))
 
-    n = F.floor((F.size(steps) - 1) / CHUNK).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), n), lambda c: F.slice(steps, c * CHUNK + 1, F.lit(CHUNK)))
-    return F.when(F.size(steps) <= CHUNK, short).otherwise(bound(chunks, chunked))
-
-
-def matches(text: Column, pattern: str, make: Callable[[Column, Column, Column, Column, Column], Column], kind: str, group: int = 0, hint: Column | None = None) -> Column:
-    """``make(start, end, value, before, after)`` of every leftmost non-overlapping match.
+def matches(text: str, pattern: str, make: Callable[[Column, Column, Column, Column, Column], Column], kind: str, group: int = 0, hint: str = "true") -> Column:
+    """``make(start, end, value, before, after)`` of every leftmost non-overlapping match in the column named ``text``.
 
     ``value`` is group ``group`` of the match, ``before`` and ``after`` the text
-    between it and its neighbours.  ``hint`` is a cheap condition without which
-    the pattern can't match.  The result is an array of type ``kind``, empty
-    if there is no match.
+    between it and its neighbours.  ``hint`` is a cheap SQL condition without
+    which the pattern can't match.  The result is an array of type ``kind``,
+    empty if there is no match.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-    def zipped(between: Column) -> Column:
-        n = F.size(between) - 1
-        return F.arrays_zip(whole.alias("whole"), value.alias("value"), F.slice(between, F.lit(1), n).alias("before"), F.slice(between, F.lit(2), n).alias("after"))
-
-    def placed(rows: Column) -> Column:
-        steps = F.transform(rows, lambda x: F.length(x["before"]) + F.length(x["whole"]))
-        return F.transform(
-            F.arrays_zip(rows.alias("r"), bound(steps, _offsets).alias("at")),
-            lambda z: make(z["at"] + F.length(z["r"]["before"]), z["at"] + F.length(z["r"]["before"]) + F.length(z["r"]["whole"]), z["r"]["value"], z["r"]["before"], z["r"]["after"]),
-        )
-
-    found = bound(bound(F.split(text, pattern, -1), zipped), placed)
-    can = F.regexp_like(text, F.lit(pattern)) if hint is None else hint & F.regexp_like(text, F.lit(pattern))
-    return F.when(can, found).otherwise(F.array().cast(kind))
+    p = _quoted(pattern)
+    all_of = lambda g: f"regexp_extract_all({text}, {p}, {g})"
+    zipped = f"arrays_zip({all_of(0)}, {all_of(group)}, slice(between, 1, size(between) - 1), slice(between, 2, size(between) - 1))"
+    rows = f"transform({zipped}, x -> struct(x.`0` as whole, x.`1` as value, x.`2` as before, x.`3` as after))"
+    at = _bound("transform(rows, x -> length(x.before) + length(x.whole))", "steps", _offsets("steps"))
+    placed = "transform(arrays_zip(rows, at), z -> struct(z.at + length(z.rows.before) as start, z.at + length(z.rows.before) + length(z.rows.whole) as end, z.rows.value as value, z.rows.before as before, z.rows.after as after))"
+    found = _bound(f"split({text}, {p}, -1)", "between", _bound(rows, "rows", _bound(at, "at", placed)))
+    found = F.expr(f"case when {hint} and regexp_like({text}, {p}) then {found} end")
+    return F.coalesce(F.transform(found, lambda x: make(x["start"], x["end"], x["value"], x["before"], x["after"])), F.array().cast(kind))
 
 
 def listed(spans: Column, names: tuple[str, ...]) -> Column:
