@@ -125,7 +125,7 @@ def test_expectation_maximisation():
 
 
 LABELLED = [  # text, kind, votes of shape, gazetteer and context (0 abstain, 1 no, 2 yes), touch
-    ("Dear Mr. John Smith, hello", "name", (0, 2, 2, 2)), ("the General Public License", "name", (0, 1, 0, 2)), ("Sich Sich geht", "name", (1, 0, 0, 2)),
+    ("ask Mr. John Smith, hello", "name", (0, 2, 2, 2)), ("the General Public License", "name", (0, 1, 0, 2)), ("Sich Sich geht", "name", (1, 0, 0, 2)),
     ("follow @foo_bar9 now", "handle", (2, 0, 2, 2)), ("see @media screen", "handle", (0, 1, 0, 2)),
     ("IBAN DE89 3704 0044 0532 0130 00 ok", "iban", (2, 2, 2, 2)), ("order XX12 3456 7890 1234", "iban", (1, 1, 1, 2)),
     ("lives at 12 Baker Street, London now", "address", (2, 2, 2, 2)), ("wohnt Hauptstraße 5 dort", "address", (2, 0, 2, 2)),
@@ -144,7 +144,7 @@ def test_classifier_adds_spans(spark):
     """What the base patterns miss is added where labelers agree; what they doubt is not, and base columns don't change."""
     texts = [x[0] for x in LABELLED] * 20 + [None, ""]
     got = {r.doc_id: r for r in pii.find_personal(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, code string")).collect()}
-    assert [got[i].spans for i in range(10)] == ["name:9:19", "", "", "handle:7:16", "", "iban:5:32", "", "address:13:28", "address:6:19", "number:0:16"]
+    assert [got[i].spans for i in range(10)] == ["name:8:18", "", "", "handle:7:16", "", "iban:5:32", "", "address:13:28", "address:6:19", "number:0:16"]
     assert sum(r.n_added for r in got.values()) == 120
     assert all(got[i].base_sha256 == sha(listed(pii_base(t))) for i, t in enumerate(texts))
 
