@@ -1,17 +1,21 @@
 """Repeated passages: paragraph MinHash banding, verified and clustered.
 
-A paragraph is a line of at least ``min_words`` words.  Equal paragraphs (in
-words, A-Z in lower case) collapse first.  Each distinct one gets a MinHash
-signature over its word shingles; bands of the signature, tuned for recall at
-the similarity threshold, are its keys.  Paragraphs that share a key are
-compared by exact Jaccard similarity of their shingle sets, and links close to
-clusters by connected components.  Of a cluster the first occurrence stays.
-
-A passage may also repeat inside longer lines that differ.  Windows of 25 words
-are picked by content (the least digest among every 26 neighbours), so any two
-copies of 50 words or more have a picked window in common wherever they stand;
-equal windows are seeds, which grow word by word, both ways, to the whole of
-what their two texts have in common; a document's runs merge into passages.
+A paragraph is a line of at least ``min_words`` words, or as many shorter lines
+in a row as reach that number (a blank line ends it), so hard-wrapped text
+forms paragraphs too.  Equal paragraphs (in words, A-Z in lower case) collapse
+first.  Each distinct one gets a MinHash signature over its word shingles; bands
+of the signature, tuned for recall at the similarity threshold, are its keys.
+Paragraphs that share a key are compared by exact Jaccard similarity of their
+shingle sets, and links close to clusters by connected components.  Of a
+cluster the first occurrence stays.
+
+A passage may also repeat inside longer lines that differ.  There every run of
+50 words is a unit, its shingles are its 26 runs of 25 words, and its MinHash
+(one band of one value) is the least digest among them.  Neighbouring units
+mostly share it, so few values are kept; equal runs of 50 words always collide.
+Each collision joins to the first place of its value, is verified word by word
+on both texts, and grows both ways to the whole of what they have in common; a
+document's runs merge into passages.
 
 Plan.  Copies are eliminated map-side before the first shuffle of text.  Band
 rows are two integers; a key's members are found on a sorted stream, and keys
@@ -19,7 +23,9 @@ with the same members are one group, so a pair that collides in many bands is
 compared once.  Only grouped paragraphs fetch their text.  Within a group links
 are followed breadth first (a spanning forest, never all pairs); a group
 beyond ``most`` members is dealt into pairs of blocks, so no link is lost.
-Occurrences join their cluster on a digest between written tables.
+Occurrences join their cluster on a digest between written tables.  Passages
+are sought among distinct texts; pairs of them fetch only the stretch of text
+around their collisions.
 """
 
 from __future__ import annotations
@@ -52,12 +58,22 @@ def tune_bands(threshold: float, recall: float = 0.999, permutations: int = 64)
 
 
 def paragraphs(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(number, start, end, words, normalised) of the paragraphs of a text; offsets are code points."""
-    at = 0
+    """(number of the first line, start, end, words, normalised) of the paragraphs of a text; offsets are code points."""
+    at, held, first, start, end = 0, [], 0, 0, 0
     for no, line in enumerate(text.split("\n")):
         words = line.encode("utf-8", "surrogatepass").lower().split()
-        if len(words) >= min_words:
-            yield no, at, at + len(line), len(words), b" ".join(words)
+        if len(words) >= min_words or not words:
+            held = []
+            if words:
+                yield no, at, at + len(line), len(words), b" ".join(words)
+        else:
+            if not held:
+                first, start = no, at
+            held += words
+            end = at + len(line)
+            if len(held) >= min_words:
+                yield first, start, end, len(held), b" ".join(held)
+                held = []
         at += len(line) + 1
 
 
@@ -70,59 +86,81 @@ def _rows(columns: list[list], kinds: list[pa.DataType], names: list[str]) -> pa
 
 
 def _occurrences(min_words: int):
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["doc", "no", "start", "end", "n_words", "digest"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["doc", "no", "start", "end", "n_words", "digest", "norm"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for no, start, end, n, norm in paragraphs(text.as_py() or "", min_words):
-                    for column, x in zip(out, (doc, no, start, end, n, _digest(norm)), strict=True):
-                        column.append(x)
-            yield _rows(out, kinds, names)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                out: list[list] = [[] for _ in names]
+                seen: set[bytes] = set()
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    for no, start, end, n, norm in paragraphs(text.as_py() or "", min_words):
+                        digest = _digest(norm)
+                        own = None if digest in seen else norm  # contents once for each slice of the stream
+                        seen.add(digest)
+                        for column, x in zip(out, (doc, no, start, end, n, digest, own), strict=True):
+                            column.append(x)
+                yield _rows(out, kinds, names)
 
     return run
 
 
-def _contents(min_words: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own: dict[bytes, None] = {}
-            for text in batch.column(0):
-                own.update(dict.fromkeys(p[4] for p in paragraphs(text.as_py() or "", min_words)))
-            yield _rows([[_digest(n) for n in own], list(own)], [pa.binary(), pa.binary()], ["digest", "norm"])
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS: dict[str, np.ndarray] = {}
 
-    return run
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of the base and of its inverse (modulo two to the 64)."""
+    if len(_POWERS.get("rise", ())) < n:
+        size = max(n, 1 << 20)
+        for name, base in (("rise", _BASE), ("fall", _INVERSE)):
+            _POWERS[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base)]))
+    return _POWERS["rise"][:n], _POWERS["fall"][:n]
+
+
+def run_digests(norm: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A mixed 64-bit digest of each byte range [first, last) of ``norm``; equal bytes give equal digests wherever they stand."""
+    rise, fall = _powers(len(norm) + 1)
+    total = np.zeros(len(norm) + 1, dtype=np.uint64)
+    np.cumsum((norm.astype(np.uint64) + np.uint64(1)) * rise[:-1], out=total[1:])
+    h = (total[last] - total[first]) * fall[first]
+    for multiplier in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(multiplier)
+    return h ^ (h >> np.uint64(29))
 
 
 def signatures(texts: list[bytes], width: int, salts: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """MinHash values, one row per text (each has a shingle)."""
-    digest, hashes, starts = xxhash.xxh64_intdigest, [], [0]
-    for t in texts:
-        hashes += [digest(s) for s in shingles(t, width)]
-        starts.append(len(hashes))
-    h, at = np.array(hashes, dtype=np.uint64), np.array(starts[:-1])
-    out = np.empty((len(texts), len(salts)), dtype=np.uint64)
+    """MinHash values (32 bits), one row per normalised text."""
+    norm = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+    gaps = np.flatnonzero(norm == 32)
+    start, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(norm)]])
+    words = np.array([t.count(b" ") + 1 for t in texts])
+    runs = np.maximum(words - width + 1, 1)
+    at = np.cumsum(runs) - runs
+    word = np.arange(int(runs.sum())) + np.repeat(np.cumsum(words) - words - at, runs)
+    h = (run_digests(norm, start[word], end[word + np.repeat(np.minimum(words, width) - 1, runs)]) >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(texts), len(salts)), dtype=np.uint32)
     for j, (salt, odd) in enumerate(zip(salts, odds, strict=True)):
-        x = (h ^ salt) * odd
-        out[:, j] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), at)
+        out[:, j] = np.minimum.reduceat((h ^ salt) * odd, at)
     return out
 
 
 def _bands(width: int, bands: int, rows: int, seed: int):
     rng = np.random.Generator(np.random.Philox(key=seed))
-    salts = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-    odds = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    salts = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
+    odds = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sig = signatures(part.column(1).to_pylist(), width, salts, odds).reshape(part.num_rows, bands, rows)
+                sig = signatures(part.column(1).to_pylist(), width, salts, odds).reshape(part.num_rows, bands, rows).astype(np.uint64)
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (part.num_rows, bands)).copy()
                 for j in range(rows):
-                    key = (key ^ sig[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+                    key = (key ^ sig[:, :, j]) * _BASE
                     key ^= key >> np.uint64(31)
                 pid = np.repeat(part.column(0).to_numpy(), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.zeros(len(pid), dtype=np.int64)), pa.array(pid)], names=["key", "block", "pid"])
@@ -204,40 +242,149 @@ def paragraph_links(distinct: DataFrame, work: Scratch, width: int, threshold: f
 
 
 _WINDOW, _NEIGHBOURS = 25, 26
-_ANCHOR_NAMES = ["row", "doc", "h", "g", "w"]
-
-
-def anchors(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two digests and the first word's number of the picked windows of a text; none under 25 words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words) - _WINDOW + 1
+#: A unit: every run of so many words has a pick.
+_UNIT = _WINDOW + _NEIGHBOURS - 1
+#: Words on either side of a collision that its verification needs: a longer common run has a further collision.
+_AROUND = _UNIT + 1
+#: Bytes of text that are hashed at once; a longer text goes in overlapping blocks.
+_BLOCK = 1 << 21
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ANCHOR = pa.struct([("h", pa.int64()), ("g", pa.int32()), ("w", pa.int32()), ("c0", pa.int32()), ("c1", pa.int32())])
+_UNITS = "doc long, t1 long, t2 long, n_words int, first int, last int, found array<struct<h:long,g:int,w:int,c0:int,c1:int>>"
+
+
+class Words:
+    """The words of some bytes of text: where they are, and all of them with single gaps."""
+
+    def __init__(self, data: bytes):
+        raw = np.frombuffer(data, dtype=np.uint8)
+        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).view(np.int8)))
+        self.start, self.end = edge[::2], edge[1::2]
+        keep = solid.copy()
+        keep[1:] |= solid[:-1]
+        self.norm = np.where(solid, _LOWER[raw], np.uint8(32))[keep]
+        self.points = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)  # code points up to and with each byte
+
+    def cut(self, n: int) -> None:
+        """Only the first ``n`` words."""
+        self.start, self.end = self.start[:n], self.end[:n]
+
+    def digests(self, first: np.ndarray, count: int) -> np.ndarray:
+        """Of the runs of ``count`` words from each of ``first`` on."""
+        size = self.end - self.start + 1
+        begin = np.cumsum(size) - size
+        return run_digests(self.norm, begin[first], begin[first + count - 1] + size[first + count - 1] - 1)
+
+
+def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The least or greatest of every ``width`` neighbours, by doubling."""
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        values, size = best(values[:-step], values[step:]), size + step
+    return values
+
+
+def picks(words: Words, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the first words of picked windows, and their digests; ``text`` numbers the text of each word."""
+    n = len(text) - _WINDOW + 1
+    none = np.zeros(0, dtype=np.int64)
     if n < 1:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))
-    base = np.uint64(0x9E3779B97F4A7C15)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    fall = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words) - 1, inverse)]))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(h * fall)])
-    rise = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]))
-    mixed = (total[_WINDOW:] - total[:-_WINDOW]) * rise  # the same for equal words at any place
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    near = min(n, _NEIGHBOURS)
-    picked = np.unique(np.lib.stride_tricks.sliding_window_view(mixed, near).argmin(axis=1) + np.arange(n - near + 1))
-    other = (h[picked] * np.uint64(3) + h[picked + _WINDOW - 1] * np.uint64(5) + h[picked + _WINDOW // 2]) >> np.uint64(33)
-    return mixed[picked].view(np.int64), other.astype(np.int64), picked
-
-
-def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return none, none.astype(np.uint64)
+    inside = text[:n] == text[_WINDOW - 1 :]
+    h = words.digests(np.arange(n), _WINDOW)
+    # Equal windows next to each other differ in the last bits, so one of them is picked.
+    key = np.where(inside, h & ~np.uint64(63) | (np.arange(n, dtype=np.uint64) & np.uint64(63)), np.uint64(0xFFFFFFFFFFFFFFFF))
+    chosen = none
+    if n >= _NEIGHBOURS:
+        least = _sliding(key, _NEIGHBOURS, np.minimum)
+        least = np.where(text[: len(least)] == text[_UNIT - 1 :], least, np.uint64(0))
+        edge = np.zeros(_NEIGHBOURS - 1, dtype=np.uint64)
+        chosen = np.flatnonzero((_sliding(np.concatenate([edge, least, edge]), _NEIGHBOURS, np.maximum)[:n] == key) & inside)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1, [len(text)]])
+    short = [a + int(key[a : b - _WINDOW + 1].argmin()) for a, b in zip(starts[:-1], starts[1:], strict=True) if _WINDOW <= b - a < _UNIT]
+    chosen = np.sort(np.concatenate([chosen, np.array(short, dtype=np.int64)]))
+    return chosen, h[chosen]
+
+
+def _around(words: Words, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points where the stretch around each picked window begins and ends."""
+    begins = np.searchsorted(text, text[at], "left")
+    ends = np.searchsorted(text, text[at], "right")
+    low, high = np.maximum(at - _AROUND, begins), np.minimum(at + _WINDOW + _AROUND, ends)
+    return words.points[words.start[low]] - 1, words.points[words.end[high - 1] - 1]
+
+
+def _long(data: bytes) -> tuple[int, int, int, list[np.ndarray]]:
+    """(words, first and last code point, columns of picks) of one text, in overlapping blocks."""
+    out: list[list[np.ndarray]] = [[] for _ in range(5)]
+    at = base = points = first = last = 0
+    size = _BLOCK
+    while True:
+        words, done = Words(data[at : at + size]), at + size >= len(data)
+        n = len(words.start) - (not done)  # the last word may go on
+        if not done and n < 8 * _AROUND:
+            size *= 2
+            continue
+        words.cut(n)
+        chosen, h = picks(words, np.zeros(n, dtype=np.int64))
+        low, high = _AROUND if base else 0, n if done else n - _AROUND - _WINDOW
+        mine = (chosen >= low) & (chosen <= high)
+        chosen, h = chosen[mine], h[mine]
+        if n:
+            c0, c1 = _around(words, np.zeros(n, dtype=np.int64), chosen)
+            g = (words.digests(chosen, _WINDOW // 2) >> np.uint64(33)).astype(np.int64)
+            for column, x in zip(out, (h.view(np.int64), g, chosen + base, c0 + points, c1 + points), strict=True):
+                column.append(x)
+            if not base:
+                first = int(words.points[words.start[0]]) - 1
+            last = points + int(words.points[words.end[-1] - 1])
+        if done:
+            _, once = np.unique(np.concatenate(out[2]) if out[2] else np.zeros(0), return_index=True)
+            return base + n, first, last, [np.concatenate(c)[once] if c else np.zeros(0, dtype=np.int64) for c in out]
+        back = n - 4 * _AROUND
+        step = int(words.start[back])
+        base, points, at, size = base + back, points + int(words.points[step - 1]), at + step, _BLOCK
+
+
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Words, first and last code point of each text, the number of its picks, and all picks as columns (h, g, w, c0, c1)."""
+    if len(texts) == 1 and len(texts[0]) > _BLOCK:
+        n, first, last, found = _long(texts[0])
+        return np.array([n]), np.array([first]), np.array([last]), np.array([len(found[0])]), found
+    words = Words(b"\n".join(texts) + b"\n")
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])  # in bytes
+    text = np.searchsorted(begins, words.start, "right") - 1
+    count = np.bincount(text, minlength=len(texts))
+    points = np.concatenate([[0], words.points])[begins[:-1]]  # code points before each text
+    edge = np.cumsum(count)
+    some = count > 0
+    first, last = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    first[some] = words.points[words.start[(edge - count)[some]]] - 1 - points[some]
+    last[some] = words.points[words.end[edge[some] - 1] - 1] - points[some]
+    chosen, h = picks(words, text)
+    own = text[chosen] if len(text) else chosen
+    c0, c1 = _around(words, text, chosen) if len(chosen) else (chosen, chosen)
+    g = (words.digests(chosen, _WINDOW // 2) >> np.uint64(33)).astype(np.int64)
+    return count, first, last, np.bincount(own, minlength=len(texts)), [h.view(np.int64), g, chosen - (edge - count)[own], c0 - points[own], c1 - points[own]]
+
+
+def _unit_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [f.type for f in _ANCHOR]
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            found = [anchors(t.as_py() or "") for t in part.column(2)]
-            of = pa.array(np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found]))
-            h, g, w = (np.concatenate([f[i] for f in found]) for i in range(3))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(h), pa.array(g, pa.int32()), pa.array(w, pa.int32())], names=_ANCHOR_NAMES)
+        texts = [t.as_py() or b"" for t in batch.column(3)]
+        at = 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and size + len(texts[to]) < _BLOCK:
+                size += len(texts[to])
+                to += 1
+            count, first, last, n, found = anchors(texts[at:to])
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(found, kinds, strict=True)], fields=list(_ANCHOR)))
+            yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:3]), *(pa.array(x, pa.int32()) for x in (count, first, last)), listed], names=["doc", "t1", "t2", "n_words", "first", "last", "found"])
+            at = to
 
 
 def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -279,31 +426,30 @@ def matches(words: list[bytes], other: list[bytes], seeds: list[tuple[int, int,
         yield i, j, size, n
 
 
-_SPANS = "row long, doc long, start int, end int, keep_doc long, n long, removed boolean"
+_SPANS = "t1 long, t2 long, doc long, start int, end int, keep_doc long, n long, removed boolean"
 
 
 def _extended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both sides' spans of the runs that pairs of texts have in common."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-    names = ["row", "doc", "start", "end", "keep_doc", "n", "removed"]
+    """Both sides' spans of the runs that the stretches of two texts have in common."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["t1", "t2", "doc", "start", "end", "keep_doc", "n", "removed"]
     split = lambda t: t.encode("utf-8", "surrogatepass").lower().split()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             out: list[list] = [[] for _ in names]
-            for row, doc, keep_row, keep_doc, seeds, text, keep_text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                words, (starts, ends) = split(text), word_places(text)
-                other, (keep_starts, keep_ends) = (words, (starts, ends)) if row == keep_row else (split(keep_text), word_places(keep_text))
-                spans = []
-                for i, j, n, times in matches(words, other, [(s["w"], s["keep_w"], s["n"]) for s in seeds]):
+            for t1, t2, doc, k1, k2, keep_doc, seeds, w0, c0, keep_w0, keep_c0, text, keep_text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                same = (t1, t2) == (k1, k2)
+                (starts, ends), (keep_starts, keep_ends) = word_places(text), word_places(keep_text)
+                for i, j, n, times in matches(split(text), split(keep_text), [(s["w"] - w0, s["keep_w"] - keep_w0, s["n"]) for s in seeds]):
                     kept = n
-                    if row == keep_row and i != j:  # of a run that overlaps itself the first period stays
-                        kept = min(n, i - j)
-                    if row != keep_row or i != j:
-                        spans.append((row, doc, int(starts[i]), int(ends[i + n - 1]), keep_doc, times, True))
-                    spans.append((keep_row, keep_doc, int(keep_starts[j]), int(keep_ends[j + kept - 1]), keep_doc, times, False))
-                for span in spans:
-                    for column, x in zip(out, span, strict=True):
-                        column.append(x)
+                    if same:  # of a run that overlaps itself the first period stays
+                        kept = min(n, i + w0 - j - keep_w0)
+                    for span in (
+                        (t1, t2, doc, c0 + int(starts[i]), c0 + int(ends[i + n - 1]), keep_doc, times, True),
+                        (k1, k2, keep_doc, keep_c0 + int(keep_starts[j]), keep_c0 + int(keep_ends[j + kept - 1]), keep_doc, times, False),
+                    ):
+                        for column, x in zip(out, span, strict=True):
+                            column.append(x)
             yield _rows(out, kinds, names)
 
 
@@ -315,34 +461,48 @@ def repeated_passages(rows: DataFrame, work: Scratch) -> DataFrame:
     ends of what they have in common.  A document's passages that stay and
     those that go merge separately where they overlap.  What a document shares
     with a later one only, beyond what both share with the first, is found from
-    26 words on; ``cluster_size`` counts the copies of the commonest window.
+    26 words on; ``cluster_size`` counts the copies of the commonest window.  Of
+    equal texts of 25 words or more, all but the first document's go whole.
     """
-    rows = rows.select(F.xxhash64("doc", "text").alias("row"), "doc", "text")  # equal for rows repeated whole only
-    found = work.put(rows.mapInArrow(_anchor_rows, "row long, doc long, h long, g int, w int"), "anchors")
-    place = F.struct("doc", "row", "w")
-    times = found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("keep"), F.max(place).alias("last")).where("n > 1")
+    rows = rows.select("doc", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")  # equal texts have equal numbers
+    units = work.put(rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(_unit_rows, _UNITS), "units")
+    whole = F.struct("doc", "first", "last", "n_words", "found")
+    texts = work.put(units.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min(whole).alias("x")).select("t1", "t2", "copies", "x.*"), "texts")
+    several = work.put(texts.where(f"copies > 1 and n_words >= {_WINDOW}").select("t1", "t2", "copies", F.col("doc").alias("keep_doc")), "several")
+    copies = units.select("t1", "t2", "doc", "first", "last").join(several, ["t1", "t2"]).where(~F.col("doc").eqNullSafe(F.col("keep_doc")))
+    copies = work.put(copies.select("doc", F.col("first").alias("start"), F.col("last").alias("end"), "keep_doc", F.col("copies").alias("cluster_size"), F.lit(True).alias("removed")), "copies")
+    work.drop("units")
+
+    found = texts.select("t1", "t2", "doc", "copies", F.inline("found"))
+    place = F.struct("doc", "t1", "t2", "w", "c0", "c1")
+    times = found.groupBy("h", "g").agg(F.sum("copies").alias("n"), F.count("*").alias("places"), F.min(place).alias("keep")).where("places > 1").drop("places")
     shared = found.join(work.put(times, "anchor-times"), ["h", "g"])
-    first = (F.col("row") == F.col("keep.row")) & (F.col("w") == F.col("keep.w"))
-    twins = F.col("last").eqNullSafe(F.col("keep"))  # all of them in one row that is repeated whole
-    seed = F.struct("w", F.col("keep.w").alias("keep_w"), "n")
-    pairs = shared.where(~first | twins).groupBy("row", "doc", F.col("keep.row").alias("keep_row"), F.col("keep.doc").alias("keep_doc")).agg(F.collect_set(seed).alias("seeds"))
+    first = (F.col("t1") == F.col("keep.t1")) & (F.col("t2") == F.col("keep.t2")) & (F.col("w") == F.col("keep.w"))
+    pairs = shared.where(~first).groupBy("t1", "t2", "doc", F.col("keep.t1").alias("k1"), F.col("keep.t2").alias("k2"), F.col("keep.doc").alias("keep_doc")).agg(
+        F.collect_set(F.struct("w", F.col("keep.w").alias("keep_w"), "n")).alias("seeds"), F.greatest(F.min("w") - _AROUND, F.lit(0)).alias("w0"), F.min("c0").alias("c0"), F.max("c1").alias("c1"),
+        F.greatest(F.min("keep.w") - _AROUND, F.lit(0)).alias("keep_w0"), F.min("keep.c0").alias("keep_c0"), F.max("keep.c1").alias("keep_c1"),
+    )
     pairs = work.put(pairs, "pairs")
-    work.drop("anchors", "anchor-times")
-    need = pairs.select("row").union(pairs.select("keep_row")).distinct()
-    texts = work.put(rows.select("row", "text").join(need, "row", "left_semi").dropDuplicates(["row"]), "pair-texts")
-    keep_texts = texts.select(F.col("row").alias("keep_row"), F.col("text").alias("keep_text"))
-    both = pairs.join(texts, "row").join(keep_texts, "keep_row").select("row", "doc", "keep_row", "keep_doc", "seeds", "text", "keep_text")
-    spans = both.mapInArrow(_extended, _SPANS).groupBy("row", "doc", "removed", "start", "end").agg(F.min("keep_doc").alias("keep_doc"), F.max("n").alias("n"))
+    need = pairs.select("t1", "t2").union(pairs.select("k1", "k2")).distinct()
+    held = work.put(rows.select("t1", "t2", "text").join(need, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]), "pair-texts")
+    clip = lambda a, b: F.substring("text", F.col(a) + 1, F.col(b) - F.col(a))
+    one = pairs.join(held, ["t1", "t2"]).withColumn("clip", clip("c0", "c1")).drop("text")
+    both = one.join(held.select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "text"), ["k1", "k2"]).withColumn("keep_clip", clip("keep_c0", "keep_c1"))
+    both = both.select("t1", "t2", "doc", "k1", "k2", "keep_doc", "seeds", "w0", "c0", "keep_w0", "keep_c0", "clip", "keep_clip")
+    spans = both.mapInArrow(_extended, _SPANS)
+    least = F.min(F.struct("keep_doc"))["keep_doc"].alias("keep_doc")  # null comes first
+    stays = texts.join(several.select("t1", "t2"), ["t1", "t2"]).select("t1", "t2", "doc", F.col("first").alias("start"), F.col("last").alias("end"), F.col("doc").alias("keep_doc"), F.col("copies").alias("n"), F.lit(False).alias("removed"))
+    spans = spans.unionByName(stays).groupBy("t1", "t2", "doc", "removed", "start", "end").agg(least, F.max("n").alias("n"))
     spans = work.put(spans, "spans")
-    work.drop("pairs", "pair-texts")
-    order = Window.partitionBy("row", "removed").orderBy("start", "end")
+    work.drop("pairs", "pair-texts", "anchor-times", "texts", "several")
+    order = Window.partitionBy("t1", "t2", "removed").orderBy("start", "end")
     begins = F.col("start") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     each = spans.withColumn("begins", begins).withColumn("no", F.count_if("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    each = each.groupBy("row", "doc", "removed", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("keep_doc").alias("keep_doc"), F.max("n").alias("cluster_size"))
+    each = each.groupBy("t1", "t2", "doc", "removed", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"), least, F.max("n").alias("cluster_size"))
     # What stays for one window may go for another: then it goes.
-    gone = F.max(F.when(F.col("removed"), F.col("end"))).over(Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    gone = F.max(F.when(F.col("removed"), F.col("end"))).over(Window.partitionBy("t1", "t2").orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
     each = each.withColumn("gone", F.coalesce(gone, F.lit(-1))).where(F.col("removed") | (F.col("gone") < F.col("end")))
-    return each.select("doc", "start", "end", "keep_doc", "cluster_size", "removed")
+    return each.select("doc", "start", "end", "keep_doc", "cluster_size", "removed").unionByName(copies)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, width: int = 5, threshold: float = 0.8, most: int = 512) -> DataFrame:
@@ -378,8 +538,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     work = Scratch(docs.sparkSession, "paragraphs")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    found = work.put(rows.mapInArrow(_occurrences(min_words), "doc long, no int, start int, end int, n_words int, digest binary"), "occurrences")
-    contents = rows.select("text").mapInArrow(_contents(min_words), "digest binary, norm binary").groupBy("digest", "norm").agg(F.lit(1).alias("one"))
+    found = work.put(rows.mapInArrow(_occurrences(min_words), "doc long, no int, start int, end int, n_words int, digest binary, norm binary"), "occurrences")
+    contents = found.where("norm is not null").groupBy("digest", "norm").agg(F.lit(1).alias("one"))
+    found = found.drop("norm")
     distinct = work.put(contents.select(F.monotonically_increasing_id().alias("pid"), "digest", "norm"), "distinct")
     member = work.put(components(paragraph_links(distinct, work, width, threshold, most), work), "member")
     times = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "no")).alias("first"))
