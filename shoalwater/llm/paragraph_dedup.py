@@ -40,9 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalwater.llm.buckets import breadth_first, sorted_groups
+from shoalwater.llm.buckets import sorted_groups
 from shoalwater.llm.components import components
-from shoalwater.llm.simhash import shingles
+from shoalwater.llm.shingling import BLOCK, Words, blocks, groups_of, shingle_digests, similar
 from shoalwater.scratch import Scratch
 
 
@@ -107,44 +107,16 @@ def _occurrences(min_words: int):
     return run
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of the base and of its inverse (modulo two to the 64)."""
-    if len(_POWERS.get("rise", ())) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("rise", _BASE), ("fall", _INVERSE)):
-            _POWERS[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base)]))
-    return _POWERS["rise"][:n], _POWERS["fall"][:n]
-
-
-def run_digests(norm: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A mixed 64-bit digest of each byte range [first, last) of ``norm``; equal bytes give equal digests wherever they stand."""
-    rise, fall = _powers(len(norm) + 1)
-    total = np.zeros(len(norm) + 1, dtype=np.uint64)
-    np.cumsum((norm.astype(np.uint64) + np.uint64(1)) * rise[:-1], out=total[1:])
-    h = (total[last] - total[first]) * fall[first]
-    for multiplier in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(multiplier)
-    return h ^ (h >> np.uint64(29))
-
-
 def signatures(texts: list[bytes], width: int, salts: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """MinHash values (32 bits), one row per normalised text."""
-    norm = np.frombuffer(b" ".join(texts), dtype=np.uint8)
-    gaps = np.flatnonzero(norm == 32)
-    start, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(norm)]])
-    words = np.array([t.count(b" ") + 1 for t in texts])
-    runs = np.maximum(words - width + 1, 1)
-    at = np.cumsum(runs) - runs
-    word = np.arange(int(runs.sum())) + np.repeat(np.cumsum(words) - words - at, runs)
-    h = (run_digests(norm, start[word], end[word + np.repeat(np.minimum(words, width) - 1, runs)]) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(texts), len(salts)), dtype=np.uint32)
-    for j, (salt, odd) in enumerate(zip(salts, odds, strict=True)):
-        out[:, j] = np.minimum.reduceat((h ^ salt) * odd, at)
+    """MinHash values (32 bits), one row per text (each has a word)."""
+    out = np.full((len(texts), len(salts)), 0xFFFFFFFF, dtype=np.uint32)
+    for a, h, runs in shingle_digests(texts, width):
+        if not len(h):
+            continue
+        h, own = (h >> np.uint64(32)).astype(np.uint32), out[a : a + len(runs)]
+        at = np.cumsum(runs) - runs
+        for j, (salt, odd) in enumerate(zip(salts, odds, strict=True)):
+            own[:, j] = np.minimum(own[:, j], np.minimum.reduceat((h ^ salt) * odd, at))
     return out
 
 
@@ -160,7 +132,7 @@ def _bands(width: int, bands: int, rows: int, seed: int):
                 sig = signatures(part.column(1).to_pylist(), width, salts, odds).reshape(part.num_rows, bands, rows).astype(np.uint64)
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (part.num_rows, bands)).copy()
                 for j in range(rows):
-                    key = (key ^ sig[:, :, j]) * _BASE
+                    key = (key ^ sig[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(31)
                 pid = np.repeat(part.column(0).to_numpy(), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.zeros(len(pid), dtype=np.int64)), pa.array(pid)], names=["key", "block", "pid"])
@@ -188,25 +160,6 @@ def _groups(most: int):
     return run
 
 
-def similar(texts: list[bytes], width: int, threshold: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of texts whose shingle sets have at least this Jaccard similarity."""
-    vocabulary: dict[bytes, int] = {}
-    sets = [np.array(sorted({vocabulary.setdefault(s, len(vocabulary)) for s in shingles(t, width)}), dtype=np.int64) for t in texts]
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(flat, kind="stable")
-    posting = owner[order]
-    first = np.searchsorted(flat[order], np.arange(len(vocabulary) + 1))
-
-    def near(i: int, rest: np.ndarray) -> np.ndarray:
-        hits = np.concatenate([posting[first[s] : first[s + 1]] for s in sets[i]]) if len(sets[i]) else np.zeros(0, dtype=np.int64)
-        common = np.bincount(hits, minlength=len(sets))[rest]
-        return (common > 0) & (common >= threshold * (size[i] + size[rest] - common) - 1e-9)
-
-    return breadth_first(len(sets), near)
-
-
 def _verify(width: int, threshold: float, most: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, starts, (_, _, pid, norm) in sorted_groups(batches, most):
@@ -246,38 +199,10 @@ _WINDOW, _NEIGHBOURS = 25, 26
 _UNIT = _WINDOW + _NEIGHBOURS - 1
 #: Words on either side of a collision that its verification needs: a longer common run has a further collision.
 _AROUND = _UNIT + 1
-#: Bytes of text that are hashed at once; a longer text goes in overlapping blocks.
-_BLOCK = 1 << 21
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _ANCHOR = pa.struct([("h", pa.int64()), ("g", pa.int32()), ("w", pa.int32()), ("c0", pa.int32()), ("c1", pa.int32())])
 _UNITS = "doc long, t1 long, t2 long, n_words int, first int, last int, found array<struct<h:long,g:int,w:int,c0:int,c1:int>>"
 
 
-class Words:
-    """The words of some bytes of text: where they are, and all of them with single gaps."""
-
-    def __init__(self, data: bytes):
-        raw = np.frombuffer(data, dtype=np.uint8)
-        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).view(np.int8)))
-        self.start, self.end = edge[::2], edge[1::2]
-        keep = solid.copy()
-        keep[1:] |= solid[:-1]
-        self.norm = np.where(solid, _LOWER[raw], np.uint8(32))[keep]
-        self.points = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)  # code points up to and with each byte
-
-    def cut(self, n: int) -> None:
-        """Only the first ``n`` words."""
-        self.start, self.end = self.start[:n], self.end[:n]
-
-    def digests(self, first: np.ndarray, count: int) -> np.ndarray:
-        """Of the runs of ``count`` words from each of ``first`` on."""
-        size = self.end - self.start + 1
-        begin = np.cumsum(size) - size
-        return run_digests(self.norm, begin[first], begin[first + count - 1] + size[first + count - 1] - 1)
-
-
 def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     """The least or greatest of every ``width`` neighbours, by doubling."""
     size = 1
@@ -309,82 +234,76 @@ def picks(words: Words, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return chosen, h[chosen]
 
 
-def _around(words: Words, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _around(words: Words, points: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points where the stretch around each picked window begins and ends."""
     begins = np.searchsorted(text, text[at], "left")
     ends = np.searchsorted(text, text[at], "right")
     low, high = np.maximum(at - _AROUND, begins), np.minimum(at + _WINDOW + _AROUND, ends)
-    return words.points[words.start[low]] - 1, words.points[words.end[high - 1] - 1]
+    return points[words.start[low]] - 1, points[words.end[high - 1] - 1]
+
+
+def _second(words: Words, at: np.ndarray) -> np.ndarray:
+    """A further digest of each picked window."""
+    return (words.digests(at, _WINDOW // 2) >> np.uint64(33)).astype(np.int64)
 
 
 def _long(data: bytes) -> tuple[int, int, int, list[np.ndarray]]:
     """(words, first and last code point, columns of picks) of one text, in overlapping blocks."""
     out: list[list[np.ndarray]] = [[] for _ in range(5)]
-    at = base = points = first = last = 0
-    size = _BLOCK
-    while True:
-        words, done = Words(data[at : at + size]), at + size >= len(data)
-        n = len(words.start) - (not done)  # the last word may go on
-        if not done and n < 8 * _AROUND:
-            size *= 2
+    before = seen = first = last = n = base = 0
+    for words, base, at, done in blocks(data, 4 * _AROUND):
+        n = len(words.start)
+        before += int(np.count_nonzero((np.frombuffer(data[seen:at], dtype=np.uint8) & 0xC0) != 0x80))
+        seen = at
+        if not n:
             continue
-        words.cut(n)
-        chosen, h = picks(words, np.zeros(n, dtype=np.int64))
-        low, high = _AROUND if base else 0, n if done else n - _AROUND - _WINDOW
-        mine = (chosen >= low) & (chosen <= high)
+        text, points = np.zeros(n, dtype=np.int64), words.points()
+        chosen, h = picks(words, text)
+        mine = (chosen >= (_AROUND if base else 0)) & (chosen <= (n if done else n - _AROUND - _WINDOW))
         chosen, h = chosen[mine], h[mine]
-        if n:
-            c0, c1 = _around(words, np.zeros(n, dtype=np.int64), chosen)
-            g = (words.digests(chosen, _WINDOW // 2) >> np.uint64(33)).astype(np.int64)
-            for column, x in zip(out, (h.view(np.int64), g, chosen + base, c0 + points, c1 + points), strict=True):
-                column.append(x)
-            if not base:
-                first = int(words.points[words.start[0]]) - 1
-            last = points + int(words.points[words.end[-1] - 1])
-        if done:
-            _, once = np.unique(np.concatenate(out[2]) if out[2] else np.zeros(0), return_index=True)
-            return base + n, first, last, [np.concatenate(c)[once] if c else np.zeros(0, dtype=np.int64) for c in out]
-        back = n - 4 * _AROUND
-        step = int(words.start[back])
-        base, points, at, size = base + back, points + int(words.points[step - 1]), at + step, _BLOCK
+        c0, c1 = _around(words, points, text, chosen)
+        for column, x in zip(out, (h.view(np.int64), _second(words, chosen), chosen + base, c0 + before, c1 + before), strict=True):
+            column.append(x)
+        if not base:
+            first = int(points[words.start[0]]) - 1
+        last = before + int(points[words.end[-1] - 1])
+    none = np.zeros(0, dtype=np.int64)
+    columns = [np.concatenate([none, *c]) for c in out]
+    once = np.unique(columns[2], return_index=True)[1]
+    return base + n, first, last, [c[once] for c in columns]
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Words, first and last code point of each text, the number of its picks, and all picks as columns (h, g, w, c0, c1)."""
-    if len(texts) == 1 and len(texts[0]) > _BLOCK:
+    if len(texts) == 1 and len(texts[0]) > BLOCK:
         n, first, last, found = _long(texts[0])
         return np.array([n]), np.array([first]), np.array([last]), np.array([len(found[0])]), found
     words = Words(b"\n".join(texts) + b"\n")
+    points = words.points()
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])  # in bytes
     text = np.searchsorted(begins, words.start, "right") - 1
     count = np.bincount(text, minlength=len(texts))
-    points = np.concatenate([[0], words.points])[begins[:-1]]  # code points before each text
+    before = np.concatenate([[0], points])[begins[:-1]]  # code points before each text
     edge = np.cumsum(count)
     some = count > 0
     first, last = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-    first[some] = words.points[words.start[(edge - count)[some]]] - 1 - points[some]
-    last[some] = words.points[words.end[edge[some] - 1] - 1] - points[some]
+    first[some] = points[words.start[(edge - count)[some]]] - 1 - before[some]
+    last[some] = points[words.end[edge[some] - 1] - 1] - before[some]
     chosen, h = picks(words, text)
     own = text[chosen] if len(text) else chosen
-    c0, c1 = _around(words, text, chosen) if len(chosen) else (chosen, chosen)
-    g = (words.digests(chosen, _WINDOW // 2) >> np.uint64(33)).astype(np.int64)
-    return count, first, last, np.bincount(own, minlength=len(texts)), [h.view(np.int64), g, chosen - (edge - count)[own], c0 - points[own], c1 - points[own]]
+    c0, c1 = _around(words, points, text, chosen) if len(chosen) else (chosen, chosen)
+    g = _second(words, chosen) if len(chosen) else chosen
+    return count, first, last, np.bincount(own, minlength=len(texts)), [h.view(np.int64), g, chosen - (edge - count)[own], c0 - before[own], c1 - before[own]]
 
 
 def _unit_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [f.type for f in _ANCHOR]
     for batch in batches:
         texts = [t.as_py() or b"" for t in batch.column(3)]
-        at = 0
-        while at < len(texts):
-            to, size = at + 1, len(texts[at])
-            while to < len(texts) and size + len(texts[to]) < _BLOCK:
-                size += len(texts[to])
-                to += 1
+        for at, to in groups_of(texts):
             count, first, last, n, found = anchors(texts[at:to])
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(found, kinds, strict=True)], fields=list(_ANCHOR)))
             yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:3]), *(pa.array(x, pa.int32()) for x in (count, first, last)), listed], names=["doc", "t1", "t2", "n_words", "first", "last", "found"])
-            at = to
 
 
 def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
