@@ -9,16 +9,25 @@ Inside a variant the links are followed breadth first, which yields a spanning
 forest of the links, never all pairs; a variant with more than ``most``
 members is compared in pairs of blocks, so no link is lost there either.
 
+``similar_groups`` finds documents by similarity instead of by bits.  Texts with
+a Jaccard similarity of 0.8 differ in about 15 % of a fingerprint's bits, far
+more than three of 64, so it takes 126 bits in seven segments of 18: up to 13
+differing bits leave some segment with at most one for certain, more with the
+probability that the tests measure.  Candidates are verified by exact
+similarity of their texts before they link.
+
 Plan.  Texts are read once, by Arrow batches, and leave as (id, fingerprint).
-Copies collapse into one fingerprint before anything is joined.  The 64 index
-rows of a fingerprint are 16 bytes each; their keys are dealt evenly since a
-fingerprint appears once.  Components are found on fingerprints and joined back
-to documents from written tables, so a fingerprint that a third of all
-documents share is split.
+Copies collapse into one fingerprint before anything is joined.  The index
+rows of a fingerprint are a few integers each; their keys are dealt evenly since
+a fingerprint appears once.  Components are found on fingerprints and joined
+back to documents from written tables, so a fingerprint that a third of all
+documents share is split.  Only candidates fetch their texts, each once for
+every block that it is compared in.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,32 +38,48 @@ from pyspark.sql import functions as F
 
 from shoalwater.llm.buckets import breadth_first, sorted_groups
 from shoalwater.llm.components import components
+from shoalwater.llm.shingling import mixed, shingle_digests, similar
 from shoalwater.scratch import Scratch
 
 SEED = 42
-_CHUNK = 1 << 16
+#: Bytes of text whose shingles are hashed together.
+_CHUNK = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shingles(text: bytes, width: int) -> list[bytes]:
-    """Space-joined runs of ``width`` words of the text with A-Z in lower case; all words if there are fewer."""
-    words = text.lower().split()
+def shingles(words: list[bytes], width: int) -> list[bytes]:
+    """Space-joined runs of ``width`` of the words; all words if there are fewer."""
     if len(words) < width:
         return [b" ".join(words)] if words else []
     return [b" ".join(x) for x in zip(*(words[i:] for i in range(width)), strict=False)]
 
 
+def _parts(text: bytes, width: int) -> Iterator[list[bytes]]:
+    """The shingles of a text, A-Z in lower case, a chunk at a time."""
+    held: list[bytes] = []
+    at, some = 0, False
+    while at < len(text):
+        gap = _GAP.search(text, at + _CHUNK)
+        to = gap.start() if gap else len(text)
+        held += text[at:to].lower().split()
+        at = to
+        if len(held) >= width:
+            yield shingles(held, width)
+            some, held = True, held[len(held) - width + 1 :]
+    if held and not some:
+        yield shingles(held, width)
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """A bit is 1 if it is set in over half of the shingles' XXH64 values; no words: zero."""
-    parts = shingles(text, width)
-    if not parts:
-        return 0
-    digest = xxhash.xxh64_intdigest
+    digest, n = xxhash.xxh64_intdigest, 0
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(parts), _CHUNK):
-        some = parts[at : at + _CHUNK]
-        h = np.fromiter((digest(s, SEED) for s in some), dtype="<u8", count=len(some))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(parts), bitorder="little").view("<u8")[0])
+    for part in _parts(text, width):
+        h = np.fromiter((digest(s, SEED) for s in part), dtype="<u8", count=len(part))
+        for a in range(0, len(h), 1 << 16):
+            counts += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def _fingerprints(width: int):
@@ -148,3 +173,136 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = work.put(rooted.join(least, "root").select("fp", "component_id"), "named")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select(F.col("doc").alias(id_col), text.alias("fingerprint"), "component_id")
+
+
+#: Segments and bits of a segment of the wide fingerprint, and how far apart candidates may be: four deviations beyond the mean at a similarity of 0.8.
+SEGMENTS, SEGMENT_BITS, FARTHEST = 7, 18, 35
+
+
+def wide_fingerprints(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of 63 bits of SimHash for each text, and its number of shingles."""
+    counts, n = np.zeros((len(texts), 128), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    for a, h, runs in shingle_digests(texts, width):
+        bits = np.unpackbits(np.stack([h, mixed(h ^ np.uint64(SEED))], axis=1).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        some = np.flatnonzero(runs)
+        if len(some):
+            counts[a + some] += np.add.reduceat(bits, (np.cumsum(runs) - runs)[some], axis=0, dtype=np.int32)
+            n[a : a + len(runs)] += runs
+    words = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view("<u8") & np.uint64((1 << 63) - 1)
+    return words.view(np.int64), n
+
+
+def _wide_rows(width: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                words, n = wide_fingerprints([t.as_py() or b"" for t in part.column(2)], width)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(n)], names=["k1", "k2", "high", "low", "n"])
+
+    return run
+
+
+def _variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every fingerprint under each of its segments with each bit of it left open."""
+    segment, bit = (x.reshape(-1).astype(np.int64) for x in np.meshgrid(np.arange(SEGMENTS), np.arange(SEGMENT_BITS), indexing="ij"))
+    none = np.zeros(len(segment), dtype=np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            high, low = (c.to_numpy() for c in batch.slice(at, 4096).columns)
+            joined = [(high >> (SEGMENT_BITS * i)) if i < 3 else (low >> (SEGMENT_BITS * (i - 3))) if i < 6 else (high >> 54) | ((low >> 54) << 9) for i in range(SEGMENTS)]
+            value = np.stack(joined, axis=1)[:, segment] & ((1 << SEGMENT_BITS) - 1) & ~(1 << bit)
+            key = (segment * SEGMENT_BITS + bit) << SEGMENT_BITS | value
+            size = len(segment)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.tile(none, len(high))), pa.array(np.repeat(high, size)), pa.array(np.repeat(low, size))], names=["key", "block", "high", "low"])
+
+
+def _wide_links(most: int):
+    """Links within ``FARTHEST`` bits of rows sorted by key; the rows of keys that are too large."""
+    names = ["over", "key", "high", "low", "high2", "low2"]
+
+    def apart(high, low, i, j):
+        return np.bitwise_count(high[i] ^ high[j]).astype(np.int16) + np.bitwise_count(low[i] ^ low[j])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, starts, (key, _, high, low) in sorted_groups(batches, most):
+            if not whole:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), dtype=bool)), *map(pa.array, (key, high, low, high, low))], names=names)
+                continue
+            sizes = np.diff(starts)
+            left, right = [], []
+            small = np.repeat(sizes <= 8, sizes)
+            for step in range(1, 8):  # small groups: neighbours at every distance, for all groups together
+                i = np.flatnonzero((key[:-step] == key[step:]) & small[:-step]) if len(key) > step else np.zeros(0, dtype=np.int64)
+                if not len(i):
+                    break
+                i = i[apart(high, low, i, i + step) <= FARTHEST]
+                left.append(i)
+                right.append(i + step)
+            for s, n in zip(starts[:-1][sizes > 8], sizes[sizes > 8], strict=True):
+                found = breadth_first(int(n), lambda i, rest, s=s: apart(high, low, np.array([s + i]), s + rest) <= FARTHEST)
+                if found:
+                    i, j = np.array(found).T
+                    left.append(s + i)
+                    right.append(s + j)
+            if left:
+                i, j = np.concatenate(left), np.concatenate(right)
+                if len(i):
+                    zero = np.zeros(len(i), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(zero.astype(bool)), *map(pa.array, (zero, high[i], low[i], high[j], low[j]))], names=names)
+
+    return run
+
+
+def _verified(width: int, threshold: float):
+    """Links of rows (key, block, id, text) sorted by key and block whose texts are similar."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, starts, (_, _, rid, text) in sorted_groups(batches, 1 << 40):
+            pairs = [(int(rid[s + i]), int(rid[s + j])) for s, e in zip(starts[:-1], starts[1:], strict=True) for i, j in similar([t or b"" for t in text[s:e]], width, threshold)]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
+
+    return run
+
+
+def similar_groups(rows: DataFrame, work: Scratch, width: int = 5, threshold: float = 0.8, most: int = 4096, together: int = 128) -> DataFrame:
+    """(k1, k2, root): group of each row of ``rows`` (k1, k2, text) that is similar, over others or directly, to another row.
+
+    (k1, k2) identifies a row; rows with the same pair count once.  Similar are
+    texts whose sets of ``width``-word shingles have at least the Jaccard
+    similarity ``threshold``.  Texts without words are in no group.  Groups of
+    candidates beyond ``together`` are verified in pairs of blocks.
+    """
+    text = F.col("text").cast("binary")
+    prints = rows.select("k1", "k2", text.alias("text")).mapInArrow(_wide_rows(width), "k1 long, k2 long, high long, low long, n long").where("n > 0").drop("n")
+    prints = work.put(prints.groupBy("k1", "k2").agg(F.first("high").alias("high"), F.first("low").alias("low")).withColumn("rid", F.monotonically_increasing_id()), "prints")
+    distinct = work.put(prints.groupBy("high", "low").agg(F.min("rid").alias("rep")), "distinct")
+
+    def linked(frame: DataFrame, most: int) -> DataFrame:
+        return frame.repartition("key", "block").sortWithinPartitions("key", "block", "high", "low").mapInArrow(_wide_links(most), "over boolean, key long, high long, low long, high2 long, low2 long")
+
+    found = work.put(linked(distinct.select("high", "low").mapInArrow(_variants, "key long, block long, high long, low long"), most).distinct(), "found")
+    large = found.where("over").select("key", "high", "low")
+    if not large.isEmpty():
+        n = large.groupBy("key").agg(F.ceil(F.count("*") / (most // 2)).cast("long").alias("n"))
+        dealt = large.join(n, "key").withColumn("own", F.pmod(F.xxhash64("high", "low"), "n")).withColumn("other", F.explode(F.expr("sequence(0L, n - 1)")))
+        dealt = dealt.select("key", (F.least("own", "other") * F.col("n") + F.greatest("own", "other")).cast("long").alias("block"), "high", "low")
+        found = found.where("not over").unionByName(linked(dealt, 1 << 40))
+    near = found.where("not over").select("high", "low", "high2", "low2").distinct()
+    near = near.join(distinct, ["high", "low"]).select(F.col("rep").alias("a"), F.col("high2").alias("high"), F.col("low2").alias("low")).join(distinct.withColumnRenamed("rep", "b"), ["high", "low"]).select("a", "b")
+    alike = prints.join(distinct, ["high", "low"]).where("rid <> rep").select(F.col("rep").alias("a"), F.col("rid").alias("b"))
+    candidate = work.put(components(near.union(alike), work), "candidate").withColumnRenamed("node", "rid")
+    work.drop("found")
+    size = candidate.groupBy("root").agg(F.ceil(F.count("*") / (together // 2)).cast("long").alias("n"))
+    member = candidate.join(work.put(size, "sizes"), "root").withColumn("own", F.pmod(F.xxhash64("rid"), "n")).withColumn("other", F.explode(F.expr("sequence(0L, n - 1)")))
+    # Blocks of a group: every two of them meet, one that is alone meets itself.
+    block = F.when(F.col("n") <= 2, F.lit(0)).otherwise(F.least("own", "other") * F.col("n") + F.greatest("own", "other")).cast("long")
+    member = member.select(F.col("root").alias("key"), block.alias("block"), "rid").distinct()
+    need = prints.join(candidate.select("rid"), "rid").select("k1", "k2", "rid")
+    held = work.put(rows.join(need, ["k1", "k2"]).dropDuplicates(["rid"]).select("rid", text.alias("text")), "held")
+    full = member.join(held, "rid").select("key", "block", "rid", "text").repartition("key", "block").sortWithinPartitions("key", "block", "rid")
+    verified = components(full.mapInArrow(_verified(width, threshold), "a long, b long"), work)
+    groups = work.put(verified.join(prints.select("k1", "k2", "rid"), F.col("node") == F.col("rid")).select("k1", "k2", "root"), "groups")
+    work.drop("prints", "distinct", "candidate", "sizes", "held")
+    return groups

@@ -4,10 +4,10 @@ from datetime import date, timedelta
 import corpus_pipeline
 import public_tokenizers as P
 import tiktoken
-from brute import components, sha, simhash
+from brute import components, sha
 
 from shoalwater.llm import byte_bpe, paragraph_dedup as para
-from shoalwater.llm import url_lists
+from shoalwater.llm import simhash, url_lists
 
 
 def test_lists_as_of(spark):
@@ -128,12 +128,73 @@ def test_passages_are_whole(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def near_copy(rng, text, n):
+    """The text with ``n`` words of its end exchanged."""
+    words = text.split()
+    for k in range(n):
+        words[-1 - k] = f"other{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def shingle_set(text, width=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def test_similar_groups(spark):
+    """Groups against all pairs, with groups beyond a block; recall by similarity."""
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    rows, sets = [], {}
+    for g in range(120):
+        text = [word() for _ in range(rng.choice([40, 120, 400]))]
+        for c in range(rng.choice([1, 2, 2, 3, 40 if g == 7 else 2])):
+            own = list(text)
+            for _ in range(rng.randrange(0, max(1, len(own) // 50)) if c else 0):
+                own[rng.randrange(len(own))] = word()
+            rows.append((len(rows), 0, " ".join(own)))
+    rows += [(10_000, 0, None), (10_001, 0, ""), (10_002, 0, " \n "), (10_003, 0, "one two"), (10_004, 0, "One  two")]
+    sets = {i: shingle_set(t) for i, _, t in rows}
+    df = spark.createDataFrame(rows, "k1 long, k2 long, text string").repartition(4)
+    pairs = [(a, b) for a, _, _ in rows for b, _, _ in rows if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for together in (128, 8):
+        root = {r.k1: r.root for r in simhash.similar_groups(df, simhash.Scratch(spark, "test"), together=together).collect()}
+        found = sum(a in root and root[a] == root.get(b) for a, b in pairs)
+        assert found >= 0.95 * len(pairs) and len(pairs) > 100
+        assert set(root) <= {x for p in pairs for x in p} and root[10_003] == root[10_004]
+    assert simhash.similar_groups(df.limit(0), simhash.Scratch(spark, "test")).count() == 0
+
+
+def test_wide_fingerprints_find_similar_texts():
+    """Measured recall of the seven segments, by similarity of the texts."""
+    rng = random.Random(15)
+    for least, recall in ((0.8, 0.8), (0.85, 0.88), (0.9, 0.95), (0.95, 0.99)):
+        hits = n = 0
+        while n < 300:
+            a = [f"w{rng.randrange(10**5)}" for _ in range(rng.choice([60, 200, 600]))]
+            b = list(a)
+            while True:
+                b[rng.randrange(len(b))] = f"y{rng.randrange(10**6)}"
+                x, y = shingle_set(" ".join(a)), shingle_set(" ".join(b))
+                j = len(x & y) / len(x | y)
+                if j < least + 0.03:
+                    break
+            if j < least:
+                continue
+            words, _ = simhash.wide_fingerprints([" ".join(a).encode(), " ".join(b).encode()], 5)
+            d = [int(words[0][i] ^ words[1][i]) for i in (0, 1)]
+            parts = [d[0] >> 18 * i & 0x3FFFF for i in range(3)] + [d[1] >> 18 * i & 0x3FFFF for i in range(3)] + [d[0] >> 54 | d[1] >> 54 << 9]
+            hits += any(p.bit_count() <= 1 for p in parts) and d[0].bit_count() + d[1].bit_count() <= simhash.FARTHEST
+            n += 1
+        assert hits >= recall * n, (least, hits / n)
+
+
 def test_pipeline(spark):
     """Each stage against a plain version, on its own input."""
     rng = random.Random(9)
     words = "the and of with that for they have this from nicht und der die das les des pour dans que".split()
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(5, 80))) for _ in range(150)]
-    texts += [texts[3], texts[3] + " ", texts[4].replace(" ", "\n"), None, "", "12 34 !!", texts[5] + " the"]
+    texts += [texts[3], texts[3] + " ", texts[4].replace(" ", "\n"), None, "", "12 34 !!"] + [near_copy(rng, texts[i], n) for i in range(6, 60) for n in (1, 2)]
     docs = spark.createDataFrame([(i, t, ["en", "de", None][i % 3], f"s{i % 4}", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -151,10 +212,22 @@ def test_pipeline(spark):
                 groups.setdefault("".join(r.text.split()), []).append((-len(r.text), i))
             assert kept == {min(g)[1] for g in groups.values()}
         elif name == "simhash":
-            fp = {i: simhash(r.text) for i, r in own.items()}
-            assert kept == set(components(fp, lambda a, b: bin(fp[a] ^ fp[b]).count("1") <= 3).values())
+            sets = {i: shingle_set(r.text) for i, r in own.items()}
+            alike = lambda a, b: bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            want = set(components(own, alike).values())
+            assert want <= kept and len(own) - len(want) >= 40  # nothing goes that is near no other; few copies are missed
+            assert len(kept - want) <= 0.1 * (len(own) - len(want))
         else:
-            assert len(rows) > len(kept) and kept <= set(own)
+            words = {i: len(r.text.split()) for i, r in own.items()}
+            copies = {i: sum(r.doc_id == i for r in rows) for i in own}
+            decided = {r.doc_id: r for r in corpus_pipeline.source_mix.mix_sources(before).collect()}
+            assert copies == {i: r.copies for i, r in decided.items()}
+            by = {}
+            for i, r in own.items():
+                by.setdefault(r.source, []).append(i)
+            target = corpus_pipeline.source_mix.mix_targets([(k, sum(words[i] for i in v)) for k, v in by.items()], (3, 1, 2), 1.5, 2.0)
+            for k, v in by.items():
+                assert abs(sum(words[i] * copies[i] for i in v) - target[k]) <= 2 * max(words[i] for i in v) and max(copies[i] for i in v) <= 2
         before = after
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
