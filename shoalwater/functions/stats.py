@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,17 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["lower"] <= b["upper"]) & (b["lower"] <= a["upper"])
 
 
-def smallest_sample(spark: SparkSession, targets: list[float], most: int = 100_000) -> DataFrame:
-    """(target, n): the least sample without a success whose upper bound is at most the target."""
-    grid = spark.createDataFrame([(t,) for t in targets], "target double")
-    sizes = spark.range(1, most + 1).select("id", wilson(F.lit(0), F.col("id"))[1].alias("upper_raw"))
-    upper = F.lit(Z * Z) / (F.col("id") + F.lit(Z * Z))
-    return sizes.select("id", upper.alias("upper")).join(F.broadcast(grid), F.col("upper") <= F.col("target")).groupBy("target").agg(F.min("id").alias("n"))
+def smallest_sample(spark: SparkSession, targets: list[float], z: float = Z) -> DataFrame:
+    """(target, n): the least sample without a success whose upper bound, z^2 / (n + z^2), is at most the target."""
+
+    def least(target: float) -> int:
+        if not 0 < target <= 1:
+            raise ValueError(f"a target lies above 0 and is at most 1: {target}")
+        n = max(1, math.ceil(z * z * (1 - target) / target))
+        while n > 1 and z * z / (n - 1 + z * z) <= target:
+            n -= 1
+        while z * z / (n + z * z) > target:
+            n += 1
+        return n
+
+    return spark.createDataFrame([(float(t), least(t)) for t in targets], "target double, n long")

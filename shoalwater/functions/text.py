@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +29,10 @@ URL = r"https?://\S+|www\.\S+"
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 _URL = re.compile(URL)
-_SENTENCE = T.StructType([T.StructField("text", T.StringType()), T.StructField("raw", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
+#: ``offsets`` is null where the text is its raw form: character k stands at ``lead`` + k.
+_SENTENCE = T.StructType([T.StructField("text", T.StringType()), T.StructField("raw", T.StringType()), T.StructField("lead", T.IntegerType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
 _ANALYSED = T.StructType([T.StructField("norm_len", T.IntegerType()), T.StructField("sentences", T.ArrayType(_SENTENCE))])
+_CHANGES = re.compile(f"[\r{INVISIBLE}{SPACES}{''.join(EMPHASIS)}]")
 _CUT = re.compile(f"[{SENTENCE_END}]+|\n")
 
 
@@ -40,12 +44,17 @@ def mapped(ch: str) -> str:
     return "".join(" " if c in SPACES else EMPHASIS.get(c, c) for c in unicodedata.normalize("NFKC", ch))
 
 
+def unchanged(raw: str) -> bool:
+    """Whether normalisation leaves a text as it is."""
+    return not _CHANGES.search(raw) and (raw.isascii() or unicodedata.is_normalized("NFKC", raw))
+
+
 def normalise(raw: str) -> tuple[str, list[int]]:
     """Normalised text and, for each of its characters and its end, the position in ``raw``.
 
     ``\\r\\n`` and ``\\r`` become ``\\n``; deletions at the start belong to the first character.
     """
-    if raw.isascii() and "\r" not in raw and "\t" not in raw:
+    if unchanged(raw):
         return raw, list(range(len(raw) + 1))
     out: list[str] = []
     at: list[int] = []
@@ -58,55 +67,77 @@ def normalise(raw: str) -> tuple[str, list[int]]:
     return "".join(out), [*at, len(raw)]
 
 
-def sentences(raw: str) -> list[tuple[str, str, list[int]]]:
-    """(sentence, its raw text, offsets into the raw text) of a message.
-
-    Sentences end at runs of end marks, which stay, and at newlines, which go;
-    neither counts inside a URL.  A sentence is stripped, its raw text is not.
-    """
-    text, at = normalise(raw)
-    inside = [(m.start(), m.end()) for m in _URL.finditer(text)]
-    bounds, start = [], 0
+def _bounds(text: str) -> list[tuple[int, int]]:
+    """Where sentences begin and end: at runs of end marks, which stay, and at newlines, which go; neither counts inside a URL."""
+    inside = [m.span() for m in _URL.finditer(text)]
+    starts = [a for a, _ in inside]
 
     def free(i: int) -> bool:
-        return not any(a <= i < b for a, b in inside)
+        k = bisect_right(starts, i) - 1
+        return k < 0 or i >= inside[k][1]
 
+    bounds, start = [], 0
     for m in _CUT.finditer(text):
-        i = m.start()
-        while i < m.end():  # a run may lie partly inside a URL
+        i, end = m.span()
+        if not inside:
+            bounds.append((start, i if text[i] == "\n" else end))
+            start = end
+            continue
+        while i < end:  # a run may lie partly inside a URL
             if not free(i):
                 i += 1
                 continue
             j = i + 1
             if text[i] != "\n":
-                while j < m.end() and free(j):
+                while j < end and free(j):
                     j += 1
             bounds.append((start, i if text[i] == "\n" else j))
             start = i = j
     bounds.append((start, len(text)))
+    return bounds
+
+
+def sentences(raw: str) -> tuple[int, list[tuple[str, str, int, list[int] | None]]]:
+    """Normalised length and (sentence, its raw text, lead, offsets into the raw text) of a message.
+
+    A sentence is stripped, its raw text is not.  Offsets are None where text and raw text agree.
+    """
+    text, at = (raw, None) if unchanged(raw) else normalise(raw)
     found = []
-    for a, b in bounds:
+    for a, b in _bounds(text):
         own = text[a:b]
         body = own.strip()
-        if body:
-            first = a + len(own) - len(own.lstrip())
-            offsets = [at[first + k] - at[a] for k in range(len(body))]
-            offsets[0] = 0
-            found.append((body, raw[at[a] : at[b]], [*offsets, at[b] - at[a]]))
-    return found
-
-
-@F.pandas_udf(_ANALYSED)
-def analysed(texts: pd.Series) -> pd.DataFrame:
+        if not body:
+            continue
+        lead = len(own) - len(own.lstrip())
+        if at is None:
+            found.append((body, own, lead, None))
+        else:
+            first = a + lead
+            found.append((body, raw[at[a] : at[b]], lead, [0, *(x - at[a] for x in at[first + 1 : first + len(body)]), at[b] - at[a]]))
+    return len(text), found
+
+
+@F.arrow_udf(_ANALYSED)
+def analysed(texts: pa.Array) -> pa.Array:
     """Normalised length and sentences of each message; a null message has none."""
-    rows = [(len(normalise(t)[0]), [{"text": a, "raw": b, "offsets": c} for a, b, c in sentences(t)]) for t in (x if isinstance(x, str) else "" for x in texts)]
-    return pd.DataFrame(rows, columns=["norm_len", "sentences"])
+    sizes: list[int] = []
+    ends, columns = [0], ([], [], [], [])
+    for t in texts:
+        n, found = sentences(t.as_py() or "")
+        sizes.append(n)
+        for column, values in zip(columns, zip(*found) if found else ((), (), (), ()), strict=True):
+            column.extend(values)
+        ends.append(len(columns[0]))
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()))
+    each = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["text", "raw", "lead", "offsets"])
+    return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=["norm_len", "sentences"])
 
 
 @F.pandas_udf(T.StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     """Normalised text; null stays null."""
-    return texts.map(lambda t: normalise(t)[0] if isinstance(t, str) else None)
+    return texts.map(lambda t: t if not isinstance(t, str) or unchanged(t) else normalise(t)[0], na_action=None).where(texts.notna(), None)
 
 
 def strip(text: Column) -> Column:

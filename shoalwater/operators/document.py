@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,9 +49,9 @@ def analysed_messages(messages: DataFrame, limits: Limits = Limits()) -> DataFra
 
 
 def sentences_of(analysed_rows: DataFrame) -> DataFrame:
-    """(req_id, m, s, text, raw, offsets): sentences of kept messages; m is the index in the original request."""
+    """(req_id, m, s, text, raw, lead, offsets): sentences of kept messages; m is the index in the original request."""
     kept = analysed_rows.where("kept").select("req_id", F.col("msg_idx").alias("m"), F.posexplode("sentences").alias("s", "x"))
-    return kept.select("req_id", "m", "s", "x.text", "x.raw", "x.offsets")
+    return kept.select("req_id", "m", "s", "x.text", "x.raw", "x.lead", "x.offsets")
 
 
 def requests_of(analysed_rows: DataFrame) -> DataFrame:
@@ -59,10 +59,52 @@ def requests_of(analysed_rows: DataFrame) -> DataFrame:
     return analysed_rows.groupBy("req_id").agg(F.count("*").alias("n_messages"), F.max("dropped").alias("dropped")).withColumn("truncated", F.col("dropped") > 0)
 
 
-def raw_span(offsets, raw, start, end):
-    """The raw text of characters [start, end) of a sentence; positions outside raise an error."""
-    a, b = F.element_at(offsets, start + 1), F.element_at(offsets, end + 1)
-    return F.substring(raw, a + 1, b - a)
+def raw_bounds(sentence: dict[str, Column], start: Column, end: Column) -> tuple[Column, Column]:
+    """Where characters [start, end) of a sentence stand in its raw text; positions outside raise an error."""
+    text, raw, lead, offsets = (sentence[k] for k in ("text", "raw", "lead", "offsets"))
+
+    def at(i: Column) -> Column:
+        same = F.when(i == 0, 0).when(i == F.length(text), F.length(raw)).otherwise(lead + i)
+        place = F.when(offsets.isNull(), same).otherwise(F.element_at(offsets, i + 1))
+        return F.when((i >= 0) & (i <= F.length(text)), place).otherwise(F.raise_error(F.lit("a position outside its sentence")).cast("int"))
+
+    return at(start), at(end)
+
+
+def raw_span(sentence: dict[str, Column], start: Column, end: Column) -> Column:
+    """The raw text of characters [start, end) of a sentence (its columns text, raw, lead, offsets)."""
+    a, b = raw_bounds(sentence, start, end)
+    return F.substring(sentence["raw"], a + 1, b - a)
+
+
+def sentences_at(sentences: DataFrame, coords: DataFrame) -> DataFrame:
+    """``coords`` (req_id, m, s, ...) with text and raw; a coordinate that does not exist raises an error."""
+    found = coords.join(sentences.select("req_id", "m", "s", "text", "raw"), ["req_id", "m", "s"], "left")
+    none = F.raise_error(F.format_string("no sentence %s", F.concat_ws("/", "req_id", "m", "s"))).cast("string")
+    return found.withColumn("text", F.coalesce("text", none))
+
+
+def message_range(sentences: DataFrame, m: int) -> DataFrame:
+    """(req_id, first, n): the sentences of message ``m`` of every request, numbered through the request."""
+    before = F.count_if(F.col("m") < m)
+    own = F.count_if(F.col("m") == m)
+    return sentences.groupBy("req_id").agg(before.alias("first"), own.alias("n"))
+
+
+def latest(messages: DataFrame) -> DataFrame:
+    """(req_id, text): the last message of each request."""
+    return messages.groupBy("req_id").agg(F.max_by("text", "msg_idx").alias("text"))
+
+
+def context(messages: DataFrame) -> DataFrame:
+    """All messages but each request's last."""
+    last = messages.groupBy("req_id").agg(F.max("msg_idx").alias("last"))
+    return messages.join(last, "req_id").where("msg_idx < last").drop("last")
+
+
+def from_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Texts as requests of one message each."""
+    return texts.select(F.col(id_col).alias("req_id"), F.lit(0).alias("msg_idx"), F.lit(None).cast("string").alias("sender"), F.col(text_col).alias("text"))
 
 
 def document_text(sentences: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 ``records`` has one row per sample: (id, subset, label, score, confidence,
 probability, abstained, decided, hit_signals, hard_signals, ...).  Reports are
-aggregates over it; sweeps join a broadcast grid of thresholds, so detection
-never runs again.
+aggregates over it; sweeps count records by grid cell, so detection never runs
+again.  What needs an order over all records sorts by range and carries the
+totals of earlier ranges over, so no task sees all rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,35 @@ from pyspark.sql import functions as F
 
 from shoalwater.functions.stats import rate, wilson
 from shoalwater.functions.weights import Weights
+from shoalwater.scratch import Scratch
+
+
+def running(rows: DataFrame, order: list[str], values: list[str], descending: bool = False, by: str | None = None) -> DataFrame:
+    """``rows`` with before_x for every x of ``values``: its sum over the rows that come earlier (of the same ``by``, if given).
+
+    Rows are dealt by range of ``order``, which must tell all rows apart that
+    have values; each range adds the totals of those before it, of which the
+    driver holds one row for each range (and value of ``by``, a few labels).
+    """
+    spark = rows.sparkSession
+    work = Scratch(spark, "running")
+    sort = [F.desc(c) if descending else F.asc(c) for c in order]
+    dealt = work.put(rows.repartitionByRange(*sort).withColumn("_range", F.spark_partition_id()), "ranges")
+    group = F.lit("") if by is None else F.coalesce(F.col(by).cast("string"), F.lit("\0"))
+    sums = dealt.groupBy(group.alias("_by"), "_range").agg(*(F.sum(v).alias(v) for v in values)).orderBy("_by", "_range").collect()
+    total: dict[str, list] = {}
+    earlier = []
+    for r in sums:
+        so_far = total.setdefault(r["_by"], [0] * len(values))
+        earlier.append((r["_by"], r["_range"], *so_far))
+        total[r["_by"]] = [a + (r[v] or 0) for a, v in zip(so_far, values)]
+    kinds = [rows.agg(F.sum(v).alias(v)).schema[v].dataType.simpleString() for v in values]
+    table = spark.createDataFrame(earlier, "_by string, _range int, " + ", ".join(f"_earlier_{v} {k}" for v, k in zip(values, kinds)))
+    inside = W.partitionBy("_by", "_range").orderBy(*sort).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.withColumn("_by", group).join(F.broadcast(table), ["_by", "_range"])
+    for v in values:
+        out = out.withColumn(f"before_{v}", F.col(f"_earlier_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)))
+    return out.drop("_by", "_range", *(f"_earlier_{v}" for v in values))
 
 
 def first_byte(text: Column) -> Column:
@@ -79,33 +109,42 @@ def calibration_exits(estimates: DataFrame, widest: float = 1.9) -> DataFrame:
 
 def confidence_cuts(records: DataFrame) -> DataFrame:
     """(floor): midpoints between neighbouring distinct confidence values (a ladder of a few steps)."""
-    w = W.orderBy("confidence")
-    return records.select("confidence").distinct().withColumn("floor", (F.col("confidence") + F.lead("confidence").over(w)) / 2).where("floor is not null").select("floor")
+    steps = records.agg(F.array_sort(F.collect_set("confidence")).alias("c"))
+    middle = F.transform(F.slice("c", F.lit(2), F.size("c")), lambda x, i: (F.get("c", i) + x) / 2)
+    return steps.where(F.size("c") > 1).select(F.explode(middle).alias("floor"))
 
 
 def threshold_grid(records: DataFrame, grid: DataFrame) -> DataFrame:
     """(floor, least, recall, false_positive, abstention) for every cell of ``grid`` (floor, least).
 
-    Records are first counted by (score, confidence, label), so the grid meets
-    distinct values instead of samples.
+    The grid (a few hundred cells) is held by the driver.  Each record counts
+    once, under how many floors and scores it reaches; cells add up these
+    counts, whose number depends on the grid alone.
     """
-    cells = records.groupBy("score", "confidence", "label").agg(F.count("*").alias("n"))
-    hit = decided(F.col("score"), F.col("confidence"), F.col("floor"), F.col("least"))
+    cells = [(float(r.floor), float(r.least)) for r in grid.distinct().collect()]
+    floors, leasts = sorted({f for f, _ in cells}), sorted({x for _, x in cells})
+    reached = lambda limits, c: F.size(F.filter(F.array(*map(F.lit, limits)).cast("array<double>"), lambda x: x <= F.col(c)))
+    spark = records.sparkSession
+    counts = records.groupBy(reached(floors, "confidence").alias("f"), reached(leasts, "score").alias("x"), "label").agg(F.count("*").alias("n"))
+    table = spark.createDataFrame([(f, x, floors.index(f), leasts.index(x)) for f, x in cells], "floor double, least double, i int, j int")
+    joined = F.broadcast(table).join(counts)
+    hit = (F.col("f") > F.col("i")) & (F.col("x") > F.col("j"))
     total = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    joined = cells.join(F.broadcast(grid))
-    out = joined.groupBy("floor", "least").agg(
+    return joined.groupBy("floor", "least").agg(
         F.try_divide(total(hit & (F.col("label") == "scam")), total(F.col("label") == "scam")).alias("recall"), F.try_divide(total(hit & (F.col("label") == "ham")), total(F.col("label") == "ham")).alias("false_positive"),
-        F.try_divide(total(F.col("confidence") < F.col("floor")), F.sum("n")).alias("abstention"),
+        F.try_divide(total(F.col("f") <= F.col("i")), F.sum("n")).alias("abstention"),
     )
-    return out
+
+
+def _by_score(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("score").agg(F.count_if(F.col("label") == "scam").alias("s"), F.count_if(F.col("label") == "ham").alias("h"), F.count("*").alias("n"))
 
 
 def score_sweep(scores: DataFrame) -> DataFrame:
-    """(threshold, scam_hits, ham_hits, n_scam, n_ham) at every distinct score: cumulative counts from above, one pass."""
-    by = scores.groupBy("score").agg(F.count_if(F.col("label") == "scam").alias("s"), F.count_if(F.col("label") == "ham").alias("h"))
-    up = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    """(threshold, scam_hits, ham_hits, n_scam, n_ham) at every distinct score: cumulative counts from above."""
     total = F.broadcast(scores.agg(F.count_if(F.col("label") == "scam").alias("n_scam"), F.count_if(F.col("label") == "ham").alias("n_ham")))
-    return by.select(F.col("score").alias("threshold"), F.sum("s").over(up).alias("scam_hits"), F.sum("h").over(up).alias("ham_hits")).join(total)
+    above = running(_by_score(scores), ["score"], ["s", "h"], descending=True)
+    return above.select(F.col("score").alias("threshold"), (F.col("before_s") + F.col("s")).alias("scam_hits"), (F.col("before_h") + F.col("h")).alias("ham_hits")).join(total)
 
 
 def choose_threshold(sweep: DataFrame, ceiling: float = 0.02) -> DataFrame:
@@ -116,20 +155,18 @@ def choose_threshold(sweep: DataFrame, ceiling: float = 0.02) -> DataFrame:
 
 def auc(scores: DataFrame) -> DataFrame:
     """Area under the curve by rank sums, ties at their mean rank, from counts per distinct score."""
-    by = scores.groupBy("score").agg(F.count_if(F.col("label") == "scam").alias("s"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = by.withColumn("rank", below + (F.col("n") + 1) / 2).agg(F.sum(F.col("s") * F.col("rank")).alias("r"), F.sum("s").alias("p"), F.sum(F.col("n") - F.col("s")).alias("q"))
+    rank = F.col("before_n") + (F.col("n") + 1) / 2
+    ranks = running(_by_score(scores), ["score"], ["n"]).agg(F.sum(F.col("s") * rank).alias("r"), F.sum("s").alias("p"), F.sum(F.col("n") - F.col("s")).alias("q"))
     return ranks.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, (F.col("p") * F.col("q")).cast("double")).alias("auc"))
 
 
 def calibration_bins(records: DataFrame, least: int = 30, enough: int = 100) -> DataFrame:
     """(bin, n, mean_probability, observed): bins of equal size by probability, the last takes the remainder; none under ``enough`` rows."""
-    rows = records.where("probability is not null")
+    rows = records.where("probability is not null").select("probability", "id", "label", F.lit(1).alias("one"))
     n = F.broadcast(rows.agg(F.count("*").alias("total")))
-    order = F.row_number().over(W.orderBy("probability", "id"))
     bins = F.greatest(F.lit(1), F.floor(F.col("total") / least))
     size = F.floor(F.col("total") / bins)
-    numbered = rows.withColumn("rn", order).join(n).where(F.col("total") >= enough).withColumn("bin", F.least(F.floor((F.col("rn") - 1) / size), bins - 1))
+    numbered = running(rows, ["probability", "id"], ["one"]).join(n).where(F.col("total") >= enough).withColumn("bin", F.least(F.floor(F.col("before_one") / size), bins - 1))
     return numbered.groupBy("bin").agg(F.count("*").alias("n"), F.avg("probability").alias("mean_probability"), F.avg((F.col("label") == "scam").cast("double")).alias("observed"))
 
 
@@ -153,17 +190,25 @@ def content_sample(rows: DataFrame, text: Column, salt: str, n: int) -> DataFram
     return rows.withColumn("sample_key", F.sha2(F.concat(F.lit(salt), text), 256)).orderBy("sample_key").limit(n)
 
 
-def stratified_sample(rows: DataFrame, stratum: str, sample_id: str, n: int) -> DataFrame:
-    """A proportional share of each stratum (rounded half to even), by digest of the identifier."""
+def stratified_sample(rows: DataFrame, stratum: str, sample_id: str, n: int, salts: int = 64) -> DataFrame:
+    """A proportional share of each stratum (rounded half to even), by digest of the identifier.
+
+    A stratum is dealt over ``salts`` tasks, of which each hands on no more
+    than the stratum's share; shares add up to about ``n``.
+    """
     total = F.broadcast(rows.agg(F.count("*").alias("total")))
-    own = W.partitionBy(stratum)
-    rank = F.row_number().over(own.orderBy(F.sha2(F.col(sample_id).cast("string"), 256), sample_id))
-    return rows.withColumn("rank", rank).withColumn("own", F.count("*").over(own)).join(total).where(F.col("rank") <= F.bround(F.lit(n) * F.col("own") / F.col("total"))).drop("rank", "own", "total")
+    share = rows.groupBy(stratum).agg(F.count("*").alias("own")).join(total).select(F.col(stratum).alias("_stratum"), F.bround(F.lit(n) * F.col("own") / F.col("total")).alias("_share"))
+    keyed = rows.withColumns({"_key": F.sha2(F.col(sample_id).cast("string"), 256), "_salt": F.pmod(F.xxhash64(sample_id), F.lit(salts))}).join(F.broadcast(share), F.col(stratum).eqNullSafe(F.col("_stratum")))
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("_key", sample_id))
+    first = keyed.withColumn("_rank", rank("_stratum", "_salt")).where("_rank <= _share")
+    return first.withColumn("_rank", rank("_stratum")).where("_rank <= _share").drop("_key", "_salt", "_stratum", "_share", "_rank")
 
 
 def first_by_content(rows: DataFrame, text: Column, order: str) -> DataFrame:
-    """The first row of each content digest."""
-    return rows.withColumn("content_id", F.sha2(text, 256)).withColumn("rn", F.row_number().over(W.partitionBy("content_id").orderBy(order))).where("rn = 1").drop("rn")
+    """The first row of each content digest, found with map-side combination: a digest that most rows share is never gathered."""
+    keyed = rows.withColumn("content_id", F.sha2(text, 256))
+    first = F.struct(order, *(c for c in rows.columns if c != order))
+    return keyed.groupBy("content_id").agg(F.min(first).alias("x")).select(*(F.col(f"x.{c}").alias(c) for c in rows.columns), "content_id")
 
 
 def drift(known: DataFrame, current: DataFrame) -> DataFrame:

@@ -1,19 +1,25 @@
 """Character n-gram classifier: scoring, evidence, training and threshold choice.
 
-Grams are made by array expressions; scoring joins them with the model's terms
-(a table of a few thousand rows) and aggregates by request.  A text without a
-known gram scores the intercept.
+Scoring is a narrow map: every task holds the model's terms (a table of a few
+thousand rows, broadcast), looks each different word up once, and counts, weighs
+and adds a text's known grams in arrays, so no gram ever crosses the network.
+Only training counts grams over the corpus.  A text without a known gram scores
+the intercept.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalwater.functions.text import BLANK
+from shoalwater.operators.evaluate import running
 from shoalwater.operators.rules import STRIDE
 
 
@@ -29,52 +35,98 @@ class Model:
         return spark.createDataFrame(list(self.terms), "gram string, idf double, coef double")
 
 
-def grams(text: Column, sizes: tuple[int, int]) -> Column:
-    """Character n-grams inside words padded by spaces; a word shorter than a size gives itself once and no longer sizes."""
-    words = F.filter(F.split(F.lower(text), f"{BLANK}+"), lambda w: w != "")
-    low, high = sizes
+def word_grams(word: str, sizes: tuple[int, int]) -> list[str]:
+    """Grams of a word padded by spaces; one shorter than a size gives itself once and no longer sizes."""
+    padded, out = f" {word} ", []
+    for n in range(sizes[0], sizes[1] + 1):
+        out += [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
+        if n >= len(padded):
+            break
+    return out
 
-    def of(word: Column) -> Column:
-        longest = F.greatest(F.lit(low), F.least(F.lit(high), F.length(word)))
-        return F.flatten(F.transform(F.sequence(F.lit(low), longest), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - n + 1)), lambda i: F.substring(word, i, n))))
 
-    return F.flatten(F.transform(words, lambda w: of(F.concat(F.lit(" "), w, F.lit(" ")))))
+class _Words(dict):
+    """What each word contributes, worked out once; cleared when it grows beyond ``most`` words."""
 
+    def __init__(self, of, most: int = 200_000):
+        super().__init__()
+        self.of, self.most = of, most
 
-def gram_counts(texts: DataFrame, sizes: tuple[int, int]) -> DataFrame:
-    """(req_id, gram, tf) of texts (req_id, text)."""
-    return texts.select("req_id", F.explode(grams(F.col("text"), sizes)).alias("gram")).groupBy("req_id", "gram").agg(F.count("*").alias("tf"))
+    def __missing__(self, word: str):
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = self.of(word)
+        return found
 
 
-def contributions(texts: DataFrame, terms: DataFrame, sizes: tuple[int, int]) -> DataFrame:
-    """(req_id, gram, value, coef): log-scaled term weights of known grams."""
-    return gram_counts(texts, sizes).join(terms, "gram").select("req_id", "gram", ((1 + F.ln("tf")) * F.col("idf")).alias("value"), "coef")
+def gram_counts(texts: DataFrame, sizes: tuple[int, int], vocabulary: list[str] | None = None) -> DataFrame:
+    """(req_id, gram, tf) of texts (req_id, text), one text for each request; only grams of ``vocabulary`` if given."""
+    known = None if vocabulary is None else texts.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+    kind = texts.schema["req_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words(lambda w: [g for g in word_grams(w, sizes) if known is None or g in known.value])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                counts = [Counter(chain.from_iterable(map(words.__getitem__, (t.as_py() or "").lower().split()))) for t in part.column(1)]
+                of = np.repeat(np.arange(part.num_rows), [len(c) for c in counts])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(of)), pa.array(chain.from_iterable(c.keys() for c in counts), pa.string()), pa.array(chain.from_iterable(c.values() for c in counts), pa.int64())], names=["req_id", "gram", "tf"]
+                )
+
+    return texts.select("req_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"req_id {kind}, gram string, tf long")
+
+
+def scored(texts: DataFrame, model: Model, mass: float = 0.5) -> DataFrame:
+    """(req_id, ngram_score, leading) of texts (req_id, text): L2-normalised weights times coefficients plus the intercept.
+
+    ``leading`` lists (gram, part), the largest positive contributions until
+    their sum reaches ``mass`` of all positive ones, inclusive.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    kind = texts.schema["req_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        names = [g for g, _, _ in own.terms]
+        idf, coef = (np.array([t[i] for t in own.terms], dtype=np.float64) for i in (1, 2))
+        number = {g: i for i, g in enumerate(names)}
+        words = _Words(lambda w: [number[g] for g in word_grams(w, own.sizes) if g in number])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                scores, leading = [], []
+                for t in part.column(1):
+                    ids = np.fromiter(chain.from_iterable(map(words.__getitem__, (t.as_py() or "").lower().split())), dtype=np.int64)
+                    term, tf = np.unique(ids, return_counts=True)
+                    value = (1 + np.log(tf)) * idf[term]
+                    size = np.sqrt((value * value).sum())
+                    each = value * coef[term] / size if size else value
+                    scores.append(float(each.sum()) + own.intercept)
+                    gain = sorted(((-p, names[k]) for p, k in zip(each.tolist(), term.tolist()) if p > 0))
+                    before = np.concatenate([[0.0], np.cumsum([-p for p, _ in gain])])
+                    leading.append([{"gram": g, "part": -p} for (p, g), b in zip(gain, before) if b < mass * before[-1]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(leading, pa.list_(pa.struct([("gram", pa.string()), ("part", pa.float64())])))], names=["req_id", "ngram_score", "leading"])
+
+    return texts.select("req_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"req_id {kind}, ngram_score double, leading array<struct<gram:string,part:double>>")
 
 
 def gram_scores(texts: DataFrame, model: Model) -> DataFrame:
-    """(req_id, ngram_score, ngram_probability): L2-normalised weights times coefficients plus the intercept."""
-    parts = contributions(texts, model.frame(texts.sparkSession), model.sizes)
-    dots = parts.groupBy("req_id").agg((F.sum(F.col("value") * F.col("coef")) / F.sqrt(F.sum(F.col("value") * F.col("value")))).alias("dot"))
-    score = F.coalesce("dot", F.lit(0.0)) + F.lit(model.intercept)
-    return texts.select("req_id").join(dots, "req_id", "left").select("req_id", score.alias("ngram_score"), (1 / (1 + F.exp(-score))).alias("ngram_probability"))
+    """(req_id, ngram_score, ngram_probability)."""
+    return scored(texts, model).select("req_id", "ngram_score", (1 / (1 + F.exp(-F.col("ngram_score")))).alias("ngram_probability"))
 
 
 def evidence_grams(texts: DataFrame, model: Model, mass: float = 0.5) -> DataFrame:
-    """(req_id, gram, part): largest positive contributions until their sum reaches ``mass`` of all positive ones, inclusive."""
-    parts = contributions(texts, model.frame(texts.sparkSession), model.sizes)
-    norm = parts.groupBy("req_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    each = parts.join(norm, "req_id").select("req_id", "gram", (F.col("value") * F.col("coef") / F.col("norm")).alias("part")).where("part > 0")
-    w = W.partitionBy("req_id").orderBy(F.desc("part"), "gram")
-    before = F.sum("part").over(w.rowsBetween(W.unboundedPreceding, -1))
-    return each.withColumn("before", F.coalesce(before, F.lit(0.0))).withColumn("total", F.sum("part").over(W.partitionBy("req_id"))).where(F.col("before") < mass * F.col("total")).select("req_id", "gram", "part")
+    """(req_id, gram, part): the leading contributions."""
+    return scored(texts, model, mass).select("req_id", F.inline("leading"))
 
 
 def ngram_signals(sentences: DataFrame, texts: DataFrame, model: Model, threshold: float, ordinal: int) -> DataFrame:
     """One signal per request at or above the threshold; evidence are the sentences that hold its leading grams."""
-    hit = gram_scores(texts, model).where(F.col("ngram_score") >= threshold)
-    leading = evidence_grams(texts.join(hit.select("req_id"), "req_id", "left_semi"), model)
-    needle = F.trim("gram")
-    at = sentences.join(leading, "req_id").where((needle != "") & F.contains(F.lower("text"), needle)).groupBy("req_id").agg(F.array_sort(F.collect_set(F.struct("m", "s"))).alias("evidence"))
+    hit = scored(texts, model).where(F.col("ngram_score") >= threshold)
+    shown = F.exists("leading", lambda x: (F.trim(x["gram"]) != "") & F.contains(F.lower("text"), F.trim(x["gram"])))
+    at = sentences.join(hit.select("req_id", "leading"), "req_id").where(shown).groupBy("req_id").agg(F.array_sort(F.collect_set(F.struct("m", "s"))).alias("evidence"))
     return hit.join(at, "req_id", "left").select(
         "req_id", F.lit("ngram_classifier").alias("name"), (F.lit(ordinal) * F.lit(STRIDE)).alias("ord"), F.lit(True).alias("hit"), F.lit(False).alias("hard"), F.lit(False).alias("indeterminate"),
         F.format_string("字元 n-gram 分數 %.6f，門檻 %.6f", "ngram_score", F.lit(threshold)).alias("detail"), F.coalesce("evidence", F.array().cast("array<struct<m:int,s:int>>")).alias("evidence"), F.array().cast("array<string>").alias("scam_types"),
@@ -118,8 +170,8 @@ def train(texts: DataFrame, labels: DataFrame, sizes: tuple[int, int] = (1, 2),
 
 def folds(labels: DataFrame, n: int = 5) -> DataFrame:
     """(req_id, label, fold): each label dealt evenly over the folds in order of a digest of the identifier."""
-    order = W.partitionBy("label").orderBy(F.sha2(F.col("req_id").cast("string"), 256), "req_id")
-    return labels.withColumn("fold", (F.row_number().over(order) - 1) % n)
+    keyed = labels.withColumns({"_key": F.sha2(F.col("req_id").cast("string"), 256), "_one": F.lit(1)})
+    return running(keyed, ["_key", "req_id"], ["_one"], by="label").select(*labels.columns, (F.col("before__one") % n).cast("int").alias("fold"))
 
 
 def grid_search(texts: DataFrame, labels: DataFrame, cells: list[tuple[tuple[int, int], int]], n_folds: int = 5, **options) -> DataFrame:

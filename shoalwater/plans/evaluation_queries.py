@@ -115,7 +115,7 @@ def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many samples without a hit prove a rate below 1, 2 and 5 %."""
-    return stats.smallest_sample(spark, [0.01, 0.02, 0.05], 2000)
+    return stats.smallest_sample(spark, [0.01, 0.02, 0.05])
 
 
 def drift_detect(spark: SparkSession, sf_dir: str) -> DataFrame:

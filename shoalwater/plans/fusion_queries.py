@@ -86,8 +86,7 @@ def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ngram_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known grams of every document: counts by gram."""
-    terms = MODEL.frame(spark).select("gram")
-    rows = ngram.gram_counts(doc_texts(spark, sf_dir), MODEL.sizes).join(terms, "gram")
+    rows = ngram.gram_counts(doc_texts(spark, sf_dir), MODEL.sizes, [g for g, _, _ in MODEL.terms])
     return rows.groupBy("gram").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 

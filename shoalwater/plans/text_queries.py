@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from shoalwater.functions import text
 from shoalwater.operators import document, evaluate, redact, rules
 
-LIMITS = document.Limits(4, 600)
+#: The defaults; only ``conversation_truncation`` shows smaller ones at work.
+LIMITS = document.Limits()
+SMALL = document.Limits(4, 600)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,18 +45,19 @@ MARKERS = {"attribution": ["hand", "ment"], "forward": ["shor"], "awareness": ["
 
 # ---------------------------------------------------------------- SQL
 
-SENTENCES = r"""
+_SENTENCES = r"""
 msg AS (SELECT conv_id AS req_id, CAST(turn AS INTEGER) AS m, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY m DESC) AS rk,
          sum(n) OVER (PARTITION BY req_id ORDER BY m DESC ROWS UNBOUNDED PRECEDING) AS total FROM msg),
-marked AS (SELECT *, rk <= 4 AND (total <= 600 OR rk = 1) AS keep FROM ranked),
+marked AS (SELECT *, rk <= {messages} AND (total <= {chars} OR rk = 1) AS keep FROM ranked),
 req AS (SELECT req_id, count(*) AS n_messages, sum(CASE WHEN keep THEN 0 ELSE 1 END)::BIGINT AS dropped FROM marked GROUP BY req_id),
 cut AS (
   SELECT req_id, m, list_filter(list_transform(string_split(regexp_replace(text, '([。!?;]+)', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts
   FROM marked WHERE keep),
 sent AS (SELECT req_id, m, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS s, unnest(parts) AS text FROM cut)
 """
+SENTENCES, SMALL_SENTENCES = (_SENTENCES.replace("{messages}", str(x.max_messages)).replace("{chars}", str(x.max_chars)) for x in (LIMITS, SMALL))
 DOC_SENTENCES = r"""
 cut AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([。!?;]+)', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts
@@ -118,7 +121,7 @@ def sentence_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the limits drop of every conversation."""
-    return document.requests_of(document.analysed_messages(messages(spark, sf_dir), LIMITS))
+    return document.requests_of(document.analysed_messages(messages(spark, sf_dir), SMALL))
 
 
 def prompt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +208,7 @@ ORACLES = {
       CASE WHEN starts_with(t, '[LINE]') THEN 'line_export' END, CASE WHEN length(t) < 8 THEN 'too_short' END, CASE WHEN length(t) > 2000 THEN 'too_long' END) AS flags
       FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents)""",
     "sentence_split_counts": f"WITH {DOC_SENTENCES} SELECT doc_id, count(*) AS n_sentences, sum(length(text))::BIGINT AS n_chars, max(length(text)) AS longest FROM sent GROUP BY doc_id",
-    "conversation_truncation": f"WITH {SENTENCES} SELECT req_id, n_messages, dropped, dropped > 0 AS truncated FROM req",
+    "conversation_truncation": f"WITH {SMALL_SENTENCES} SELECT req_id, n_messages, dropped, dropped > 0 AS truncated FROM req",
     "prompt_window": f"""WITH {SENTENCES}, w AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY m DESC, s DESC) AS k,
       sum(length(text)) OVER (PARTITION BY req_id ORDER BY m DESC, s DESC ROWS UNBOUNDED PRECEDING) AS size FROM sent)
       SELECT req_id, count(*) AS n_sentences, sum(length(text))::BIGINT AS n_chars, min(m * 1000 + s) AS first FROM w WHERE k <= 5 AND (size <= 400 OR k = 1) GROUP BY req_id""",

@@ -20,13 +20,15 @@ _CREATED: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set (as in tests)."""
+    """The session's checkpoint folder; one of our own only where none is set and all runs on this machine (as in tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     option = spark.sparkContext._jsc.sc().getCheckpointDir()
     if option.isDefined():
         return option.get().rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="shoalwater-"))
     spark.sparkContext.setCheckpointDir(_LOCAL[0])

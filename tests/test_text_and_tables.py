@@ -18,7 +18,11 @@ def test_normalisation_offsets():
         raw = "".join(rng.choice(alphabet) for _ in range(rng.randrange(30)))
         norm, at = text.normalise(raw)
         assert len(at) == len(norm) + 1 and at[-1] == len(raw) and at == sorted(at) and (not norm or at[0] == 0)
-        for body, own, offsets in text.sentences(raw):
+        assert text.unchanged(raw) == (norm == raw and "\r" not in raw)
+        size, found = text.sentences(raw)
+        assert size == len(norm)
+        for body, own, lead, offsets in found:
+            offsets = [0, *range(lead + 1, lead + len(body)), len(own)] if offsets is None else offsets
             assert body == body.strip() and body and len(offsets) == len(body) + 1 and offsets[-1] == len(own) and own in raw
 
 
@@ -26,7 +30,7 @@ def test_normalisation_offsets():
     ("你好。再見!!好", ["你好。", "再見!!", "好"]), ("a\r\nb\rc", ["a", "b", "c"]), ("見https://a.com/x;y?z 好;", ["見https://a.com/x;y?z 好;"]), ("１２！", ["12!"]), ("  \n ", []), ("", []), ("？！？", ["?!?"]),
 ])
 def test_sentences(raw, want):
-    assert [s for s, _, _ in text.sentences(raw)] == want
+    assert [s for s, *_ in text.sentences(raw)[1]] == want
 
 
 def test_quotes():
@@ -47,7 +51,7 @@ def test_wilson(spark):
     low, high = stats.wilson(F.lit(4), F.lit(428))
     r = spark.range(1).select(low.alias("l"), high.alias("h")).first()
     assert r.h == pytest.approx(0.0238, abs=1e-4) and r.l > 0
-    got = {r.target: r.n for r in stats.smallest_sample(spark, [0.01, 0.02, 0.05], 500).collect()}
+    got = {r.target: r.n for r in stats.smallest_sample(spark, [0.01, 0.02, 0.05]).collect()}
     assert got[0.02] == 189
     with pytest.raises(Exception, match="without observations"):
         spark.range(1).select(stats.wilson(F.lit(0), F.col("id"))[0].alias("x")).collect()
