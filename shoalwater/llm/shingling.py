@@ -2,7 +2,7 @@
 
 Words are runs of bytes other than space and the controls 09 to 0D, A-Z in lower
 case.  The digest of a run of words is that of its bytes with single gaps, so
-it does not depend on where the run stands.  Texts are hashed a few megabytes at
+it does not depend on where the run stands.  Texts are hashed a quarter megabyte at
 a time; a longer one goes in overlapping blocks, so memory stays bounded.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 from shoalwater.llm.buckets import breadth_first
 
 #: Bytes of text that are hashed at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
