@@ -135,7 +135,7 @@ _OTHER = "\ue000"
 class Encoder:
     """Text to token ids; twice ``remember`` bounds the table of recent pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pair: dict[int, int], pattern: str, remember: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pair: dict[int, int], pattern: str, remember: int = 60_000):
         self.table, self.pair, self.size, self.remember = table, pair, max(ranks.values()) + 1, remember
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         self.shared = list(range(self.size))  # one object for each id, however often it is remembered
@@ -207,7 +207,8 @@ class Tokenizer:
         ranks = read_ranks(path)
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the vocabulary must hold every byte")
-        self.shared = spark.sparkContext.broadcast((ranks, PerfectHash(ranks), joins(ranks), pattern))
+        name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+        self.shared = spark.sparkContext.broadcast((name, (ranks, PerfectHash(ranks), joins(ranks), pattern)))
         pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token
@@ -273,16 +274,16 @@ class Tokenizer:
         return found.withColumnRenamed("doc", id_col)
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _worker(shared) -> Encoder:
-    """One encoder for each vocabulary, kept from task to task of a worker process."""
-    key = id(shared.value)
-    if key not in _ENCODERS:
+    """The encoder of a vocabulary, named by its digest, kept from task to task of a worker process."""
+    name, parts = shared.value
+    if name not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(*shared.value)
-    return _ENCODERS[key]
+        _ENCODERS[name] = Encoder(*parts)
+    return _ENCODERS[name]
 
 
 def digests(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
