@@ -149,3 +149,82 @@ def freshness(sources: DataFrame, as_of: str) -> DataFrame:
     limit = F.coalesce("max_age_days", F.when(F.col("retired"), 0), F.raise_error(F.concat(F.lit("no age limit for "), F.col("source"))).cast("int"))
     age = F.datediff(F.lit(as_of).cast("date"), F.to_date("data_through"))
     return sources.select("source", age.alias("age_days"), (~F.col("retired") & (age > limit)).alias("stale"))
+
+
+# Terms that ask to be believed, claims that belong to the probability, the least width of a bar, names of personal data.
+SPECULATIVE = ("可疑", "危險", "不明", "很可能", "應該是", "一定是", "肯定", "小心", "注意")
+CLAIMS = ("是詐騙", "為詐騙", "詐騙訊息", "確定是")
+LEAST_WIDTH = 12.0
+PERSONAL = {"TW_ID": "身分證字號", "TW_MOBILE": "手機號碼", "TW_LANDLINE": "市話", "CREDIT_CARD": "信用卡號"}
+
+
+def _holds(line: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(line, w))
+
+
+def line_qualities(line: Column) -> Column:
+    """speculative, claims and verifiable of an evidence line; a digit, a domain or a quotation can be looked up."""
+    verifiable = F.regexp_like(line, F.lit(r"\p{Nd}|[A-Za-z0-9-]+\.[A-Za-z]{2,}")) | F.contains(line, F.lit("：「"))
+    return F.struct(_holds(line, SPECULATIVE).alias("speculative"), _holds(line, CLAIMS).alias("claims"), verifiable.alias("verifiable"))
+
+
+def escaped(text: Column) -> Column:
+    """Text for markup: ampersand first, then brackets and quotes."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def checked_spans(text: Column, spans: Column) -> Column:
+    """``spans`` (array of start, end, kind) if they lie inside the text in order without overlap; otherwise an error."""
+    bad = F.exists(F.transform(spans, lambda x, i: (x["start"] < 0) | (x["start"] >= x["end"]) | (x["end"] > F.length(text)) | ((i > 0) & (x["start"] < F.get(spans, i - 1)["end"]))), lambda b: F.coalesce(b, F.lit(True)))
+    return F.when(~bad, spans).otherwise(F.raise_error(F.lit("spans outside the text, empty, out of order or overlapping")).cast("array<struct<start:int,end:int,kind:string>>"))
+
+
+def highlighted(text: Column, spans: Column) -> Column:
+    """Markup of a text with its personal data marked and named; the text is cut first and escaped then."""
+    names = F.create_map(*(F.lit(v) for row in PERSONAL.items() for v in row))
+
+    def cut(own: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(own, i - 1)["end"], F.lit(0))
+        label = lambda x: F.element_at(names, x["kind"])
+        mark = lambda x: F.concat(F.lit('<mark class="personal" title="'), label(x), F.lit('">'), escaped(F.substring(text, x["start"] + 1, x["end"] - x["start"])), F.lit('<span class="kind">'), label(x), F.lit("</span></mark>"))
+        pieces = F.transform(own, lambda x, i: F.concat(escaped(F.substring(text, F.when(i > 0, before(i)).otherwise(0) + 1, x["start"] - F.when(i > 0, before(i)).otherwise(0))), mark(x)))
+        rest = F.when(F.size(own) > 0, F.element_at(own, -1)["end"]).otherwise(0)
+        return F.concat(F.array_join(pieces, ""), escaped(F.substring(text, rest + 1, F.length(text))))
+
+    return F.transform(F.array(checked_spans(text, spans)), cut)[0]
+
+
+def bar_widths(ranking: DataFrame) -> DataFrame:
+    """Adds width (per cent) to a ranking (req_id, ..., n_places): the largest of a request is full, the least is visible, the unplaced is empty."""
+    largest = F.max("n_places").over(W.partitionBy("req_id"))
+    return ranking.withColumn("width", F.when(F.col("n_places").isNull(), 0.0).otherwise(F.greatest(F.lit(LEAST_WIDTH), 100.0 * F.col("n_places") / largest)))
+
+
+def responses(verdicts: DataFrame) -> DataFrame:
+    """(req_id, response): what a caller gets of a verdict, as JSON; checks, signals and redacted text stay inside."""
+    label = F.create_map(*(F.lit(v) for row in CATEGORIES for v in row))
+    kind = F.when(F.col("scam_type").isNotNull(), F.struct(F.col("scam_type").alias("code"), F.try_element_at(label, "scam_type").alias("label")))
+    body = F.struct(F.col("scam_probability"), F.col("scam_probability").isNull().alias("abstained"), "confidence", kind.alias("scam_type"), "evidence", "actions")
+    return verdicts.select("req_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
+
+
+def card(verdicts: DataFrame) -> DataFrame:
+    """(req_id, markup): a verdict as a card: head, category, evidence and actions as lists."""
+    text = verdict_text(verdicts.withColumn("evidence", F.array().cast("array<string>")))
+    items = lambda c: F.concat(F.lit("<ul>"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("<li>"), escaped(x), F.lit("</li>"))), ""), F.lit("</ul>"))
+    joined = verdicts.select("req_id", "evidence", "actions").join(text, "req_id")
+    return joined.select("req_id", F.concat(F.lit('<section class="card"><p>'), F.replace(escaped(F.col("text")), F.lit("\n"), F.lit("<br>")), F.lit("</p>"), items("evidence"), items("actions"), F.lit("</section>")).alias("markup"))
+
+
+def health(registered: DataFrame, missing: DataFrame, sources: DataFrame, n_signals: int) -> DataFrame:
+    """(status, checks, unregistered, stale, signals): degraded if the list of reported links is not loaded or any source is stale.
+
+    ``registered`` has (name), ``missing`` (name, reason), ``sources`` the rows of ``freshness``.
+    """
+    a = registered.agg(F.count("*").alias("checks"))
+    b = missing.agg(F.array_sort(F.collect_list(F.struct("name", "reason"))).alias("unregistered"), F.coalesce(F.bool_or(F.col("name") == "url_blocklist"), F.lit(False)).alias("no_list"))
+    c = sources.agg(F.array_sort(F.collect_list(F.when(F.col("stale"), F.col("source")))).alias("stale"))
+    status = F.when(F.col("no_list") | (F.size("stale") > 0), "degraded").otherwise("ok")
+    return a.join(b).join(c).select(status.alias("status"), "checks", "unregistered", "stale", F.lit(n_signals).alias("signals"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoalwater.functions.text import URL
+from shoalwater.functions.text import SENTENCE_END, URL
 
 # Kinds in order, placeholders, patterns, letter values and weights of identity numbers, issuer prefixes.
 KINDS = ("TW_ID", "TW_MOBILE", "TW_LANDLINE", "CREDIT_CARD")
@@ -21,6 +21,9 @@ CARD_BARE = r"(?<![0-9])[0-9]{16}(?![0-9])"
 LETTERS = dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", (10, 11, 12, 13, 14, 15, 16, 17, 34, 18, 19, 20, 21, 22, 35, 23, 24, 25, 26, 27, 28, 29, 32, 30, 31, 33)))
 ID_WEIGHTS = (1, 9, 8, 7, 6, 5, 4, 3, 2, 1, 1)
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "35")
+#: Placeholders must not contain what ends a sentence.
+if any(set(k) & set(SENTENCE_END + "\n") or not k for k in KINDS):
+    raise ValueError("a placeholder is empty or ends a sentence")
 SPAN = "array<struct<start:int,end:int,kind:string>>"
 
 
@@ -91,6 +94,14 @@ def redacted(sentences: DataFrame) -> DataFrame:
     return rows.select("req_id", "m", "s", spliced(F.col("text"), F.col("found")).alias("text"), *map(count, KINDS))
 
 
+def redaction_violations(sentences: DataFrame) -> DataFrame:
+    """(req_id, violations): sentences that redaction emptied, and links that it changed; requests without any don't appear."""
+    rows = sentences.select("req_id", "m", "s", "text").join(redacted(sentences).select("req_id", "m", "s", F.col("text").alias("now")), ["req_id", "m", "s"], "left")
+    links = F.regexp_extract_all("text", F.lit(URL), F.lit(0))
+    bad = F.col("now").isNull().cast("int") + F.coalesce((F.col("now") == "").cast("int"), F.lit(0)) + F.size(F.filter(links, lambda u: ~F.contains(F.coalesce("now", F.lit("")), u)))
+    return rows.groupBy("req_id").agg(F.sum(bad).alias("violations")).where("violations > 0")
+
+
 def redaction_counts(sentences: DataFrame) -> DataFrame:
     """(req_id, tw_id, tw_mobile, tw_landline, credit_card): zero where a kind does not occur."""
     return redacted(sentences).groupBy("req_id").agg(*(F.sum(k.lower()).alias(k.lower()) for k in KINDS))

@@ -184,7 +184,7 @@ def extract_urls(sentences: DataFrame, suffixes: Suffixes) -> DataFrame:
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: links(t, tlds.value) if isinstance(t, str) else [])
 
-    each = sentences.where(F.contains("text", F.lit("."))).select("req_id", "m", "s", F.posexplode(found("text")).alias("k", "u"))
+    each = sentences.where(F.regexp_like("text", F.lit("[.]|://"))).select("req_id", "m", "s", F.posexplode(found("text")).alias("k", "u"))
     place = F.struct("m", "s", "k")
     urls = each.groupBy("req_id", "u.url").agg(F.min_by("u", place).alias("u"), F.min(place).alias("first"), F.transform(F.array_sort(F.collect_list(place)), lambda p: F.struct(p["m"].alias("m"), p["s"].alias("s"))).alias("coords"))
     urls = urls.select("req_id", "first", "coords", "u.*")

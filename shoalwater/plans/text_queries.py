@@ -89,10 +89,10 @@ def sql_strength(rule: rules.Rule, cat: rules.Catalogue) -> str:
     return f"CASE WHEN {' AND '.join(tests)} THEN {level} ELSE 0 END"
 
 
-def hits_sql(cat: rules.Catalogue) -> str:
+def hits_sql(cat: rules.Catalogue, sentences: str | None = None) -> str:
     """CTEs up to ``hit`` (req_id, m, s, rule, level, single)."""
     each = "\n  UNION ALL\n  ".join(f"SELECT req_id, m, s, n, {i} AS rule, {sql_strength(r, cat)} AS level FROM clause" for i, r in enumerate(cat.rules))
-    return f"""{SENTENCES},
+    return f"""{sentences or SENTENCES},
 clause AS (SELECT req_id, m, s, text, len(p) AS n, unnest(p) AS c FROM (SELECT *, {CLAUSES} AS p FROM sent)),
 lev AS ({each}),
 hit AS (SELECT req_id, m, s, rule, max(level) AS level, max(n) <= 1 AS single FROM lev WHERE level > 0 GROUP BY ALL)"""
@@ -223,6 +223,9 @@ ORACLES = {
     "cross_sentence_cooccurrence": f"WITH {DOC_SENTENCES}, k AS ({_KINDS}) SELECT doc_id, count(DISTINCT s) AS n_evidence FROM k GROUP BY doc_id HAVING count(DISTINCT kind) > 1 AND count(DISTINCT s) > 1",
     "self_contained_code": f"""WITH {DOC_SENTENCES} SELECT doc_id, arg_min(code, s) AS code FROM (
       SELECT doc_id, s, nullif(regexp_extract(text, '(?:^|[^0-9])([0-9]{{4,8}})(?:[^0-9]|$)', 1), '') AS code FROM sent) WHERE code IS NOT NULL GROUP BY doc_id""",
+    # Documents hold no Taiwanese numbers: only bare card numbers of known issuers can be found in them.
+    "pii_redaction_counts": f"""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda x: CASE WHEN length(x) = 16 AND regexp_matches(x, '^(?:4|5[1-5]|34|37|35)') THEN {_luhn_sql("x")} ELSE false END) AS c FROM documents WHERE doc_id IN (SELECT doc_id FROM ({"WITH " + DOC_SENTENCES + " SELECT DISTINCT doc_id FROM sent"})))
+      SELECT doc_id, 0::BIGINT AS tw_id, 0::BIGINT AS tw_mobile, 0::BIGINT AS tw_landline, len(c)::BIGINT AS credit_card FROM d""",
     "pii_card_luhn": f"""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) = 16) AS d FROM documents)
       SELECT doc_id, len(d) AS n_numbers, len(list_filter(d, lambda x: regexp_matches(x, '^(?:4|5[1-5]|34|37|35)') AND {_luhn_sql("x")})) AS n_cards FROM d WHERE len(d) > 0""",
 }

@@ -173,20 +173,37 @@ def replace_sources(kept: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, path: str, before: int | None = None, shrink: float = 0.5) -> int:
-    """Write through a neighbouring folder and rename; refuses to shrink below half of ``before``.  Returns the number of rows."""
+    """Write beside the old snapshot, then swap by renaming; refuses to shrink below half of ``before``.  Returns the number of rows.
+
+    The old snapshot keeps a name (``path``.old) until the new one is in place:
+    after a crash between the two renames, calling again or renaming it back restores it.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").json(f"{path}.new")
     n = spark.read.schema(df.schema).json(f"{path}.new").count()
     if before is not None and n < shrink * before:
         raise ValueError(f"only {n} rows, {before} before")
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old, new, kept = where(path), where(f"{path}.new"), where(f"{path}.old")
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    if fs.exists(old):
+        fs.delete(kept, True)
+        if not fs.rename(old, kept):
+            raise OSError(f"{path} can't be renamed")
+    if not fs.rename(new, old):
+        fs.rename(kept, old)
+        raise OSError(f"{path}.new can't be renamed")
+    fs.delete(kept, True)
     return n
 
 
+def put_lookups(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """A cache of lookups (domain, outcome, registered_on, fetched_at) with newer rows taken over: one row per domain, the newest."""
+    rows = cache.unionByName(fresh)
+    best = rows.groupBy("domain").agg(F.max(F.struct("fetched_at", "outcome", "registered_on")).alias("x"))
+    return best.select("domain", "x.outcome", "x.registered_on", "x.fetched_at")
+
+
 def latest_lookups(cache: DataFrame, as_of: str, known_days: int = 180, other_days: int = 1) -> DataFrame:
     """The newest row per domain of (domain, outcome, registered_on, fetched_at) that has not expired; known answers live longer."""
     rank = F.row_number().over(W.partitionBy("domain").orderBy(F.desc("fetched_at")))
@@ -194,17 +211,21 @@ def latest_lookups(cache: DataFrame, as_of: str, known_days: int = 180, other_da
     return cache.withColumn("rn", rank).where("rn = 1").where(age <= F.when(F.col("outcome") == "KNOWN", known_days).otherwise(other_days)).drop("rn")
 
 
-def chat_export(lines: DataFrame) -> DataFrame:
-    """Messages (day, clock, sender, text) of an exported chat (line_no, value): a header, day rows, and rows of three tab fields.
+def chat_export(lines: DataFrame, file_col: str | None = None) -> DataFrame:
+    """Messages (file, msg, day, clock, sender, text) of exported chats (line_no, value): a header, day rows, and rows of three tab fields.
 
-    Other rows continue the message before them.
+    Other rows continue the message before them.  ``file_col`` tells several
+    exports apart; lines of one export are read in order, exports in parallel.
     """
-    w = W.orderBy("line_no")
-    day = F.last(F.when(F.regexp_like("value", F.lit(r"^[0-9]{4}[./][0-9]{1,2}[./][0-9]{1,2}")), F.regexp_extract("value", r"^([0-9./]+)", 1)), ignorenulls=True).over(w)
+    lines = lines.withColumn("file", F.col(file_col) if file_col else F.lit(None).cast("string"))
+    w = W.partitionBy("file").orderBy("line_no")
+    dated = F.regexp_like("value", F.lit(r"^[0-9]{4}[./][0-9]{1,2}[./][0-9]{1,2}"))
+    day = F.last(F.when(dated, F.regexp_extract("value", r"^([0-9./]+)", 1)), ignorenulls=True).over(w)
     field = F.split("value", "\t")
     start = F.size(field) == 3
     rows = lines.withColumn("day", day).withColumn("field", field).withColumn("msg", F.sum(start.cast("int")).over(w)).where("msg > 0").where(~F.regexp_like("value", F.lit(r"^[0-9]{4}[./]")))
-    return rows.groupBy("msg").agg(F.first("day").alias("day"), F.min_by(F.get("field", F.lit(0)), "line_no").alias("clock"), F.min_by(F.get("field", F.lit(1)), "line_no").alias("sender"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.when(start, F.get("field", F.lit(2))).otherwise(F.col("value")).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.when(start, F.get("field", F.lit(2))).otherwise(F.col("value")).alias("t")))), lambda x: x["t"])
+    return rows.groupBy("file", "msg").agg(F.min_by("day", "line_no").alias("day"), F.min_by(F.get("field", F.lit(0)), "line_no").alias("clock"), F.min_by(F.get("field", F.lit(1)), "line_no").alias("sender"), F.array_join(text, "\n").alias("text"))
 
 
 def minutes_of(clock: Column) -> Column:
