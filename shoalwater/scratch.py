@@ -41,6 +41,17 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file in any store that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+
+
 @atexit.register
 def _sweep() -> None:
     for path, spark in list(_CREATED.items()):

@@ -156,5 +156,5 @@ def lookups(domains: DataFrame, cache: DataFrame, endpoints: DataFrame, fetched:
     fresh = F.when(F.col("url").isNull(), "UNSUPPORTED").when(F.col("status") == 200, answer["outcome"]).when(F.col("status") == 404, "NOT_FOUND").otherwise("FAILED")
     cached = F.col("outcome").isNotNull()
     return rows.select(
-        "domain", F.coalesce("outcome", fresh).alias("outcome"), F.when(cached, F.col("registered_on")).when(F.col("status") == 200, answer["registered_on"]).alias("registered_on"), F.when(cached, "cache").otherwise("registry").alias("source"),
+        "domain", F.coalesce("outcome", fresh).alias("outcome"), F.when(cached, F.col("registered_on")).when(F.col("url").isNotNull() & (F.col("status") == 200), answer["registered_on"]).alias("registered_on"), F.when(cached, "cache").otherwise("registry").alias("source"),
     )

@@ -36,7 +36,7 @@ FORMULA = {"analyzer": "char_wb", "sublinear_tf": True, "norm": "l2", "smooth_id
 
 def whole(spark: SparkSession, path: str) -> str:
     """The text of one small file."""
-    rows = spark.read.option("wholetext", True).text(path).take(2)
+    rows = spark.read.text(path, wholetext=True).take(2)
     if len(rows) != 1:
         raise ValueError(f"{path} holds {len(rows)} files, not one")
     return rows[0][0]

@@ -33,7 +33,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str, fields: tuple[str, ...]) -> dict:
     """A manifest as a dictionary (one small file); missing fields raise KeyError."""
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     loaded = json.loads(text)
     if missing := [f for f in fields if f not in loaded]:
         raise KeyError(f"the manifest lacks {missing}")
