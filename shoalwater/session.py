@@ -21,6 +21,13 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
     return builder.getOrCreate()
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of ``rows`` rows where the session has Spark's default (10,000, of whole texts: tens of megabytes outside the heap for each task)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) in (None, "10000"):
+        spark.conf.set(key, str(rows))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, unless their environment names its folder."""
     import os
