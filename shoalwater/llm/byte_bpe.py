@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalwater.session import small_batches
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The entries of a rank file: base64 bytes, a space, the rank."""
@@ -204,6 +206,7 @@ class Tokenizer:
     """Driver-side handle: reads the rank file once and ships it to executors."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
+        small_batches(spark)
         ranks = read_ranks(path)
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the vocabulary must hold every byte")

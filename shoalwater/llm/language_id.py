@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalwater.session import small_batches
+
 UNKNOWN = "und"
 _CODES = 0x110000
 _LETTER: list[np.ndarray] = []
@@ -175,6 +177,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims: i
         names = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([total[x] for x in names], pa.list_(pa.int64()))], names=["lang", "v"])
 
+    small_batches(docs.sparkSession)
     if docs.select(F.col(lang_col).cast("string").alias("lang")).where("lang is not null").distinct().limit(max_languages + 1).count() > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -193,6 +196,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     cosines go to the label that sorts first.  Repeated rows get equal results,
     an empty table none; only the two named columns are read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((list(prototypes), np.array([prototypes[k] for k in prototypes]).reshape(len(prototypes), dims)))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -238,6 +242,7 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col
     noise and scripts that were not learned go, and so do one or two words
     repeated over and over; other texts pass.
     """
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[k] for k in prototypes]).reshape(len(prototypes), dims))
 

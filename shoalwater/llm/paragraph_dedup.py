@@ -44,6 +44,7 @@ from shoalwater.llm.buckets import sorted_groups
 from shoalwater.llm.components import components
 from shoalwater.llm.shingling import BLOCK, Words, blocks, groups_of, shingle_digests, similar
 from shoalwater.scratch import Scratch
+from shoalwater.session import small_batches
 
 
 def tune_bands(threshold: float, recall: float = 0.999, permutations: int = 64) -> tuple[int, int]:
@@ -383,6 +384,7 @@ def repeated_passages(rows: DataFrame, work: Scratch) -> DataFrame:
     26 words on; ``cluster_size`` counts the copies of the commonest window.  Of
     equal texts of 25 words or more, all but the first document's go whole.
     """
+    small_batches(rows.sparkSession)
     rows = rows.select("doc", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")  # equal texts have equal numbers
     units = work.put(rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(_unit_rows, _UNITS), "units")
     whole = F.struct("doc", "first", "last", "n_words", "found")
@@ -455,6 +457,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     occurrence itself is such a row, its twins are kept too.  An empty table
     gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     work = Scratch(docs.sparkSession, "paragraphs")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     found = work.put(rows.mapInArrow(_occurrences(min_words), "doc long, no int, start int, end int, n_words int, digest binary, norm binary"), "occurrences")

@@ -40,6 +40,7 @@ from shoalwater.llm.buckets import breadth_first, sorted_groups
 from shoalwater.llm.components import components
 from shoalwater.llm.shingling import mixed, shingle_digests, similar
 from shoalwater.scratch import Scratch
+from shoalwater.session import small_batches
 
 SEED = 42
 #: Bytes of text whose shingles are hashed together.
@@ -162,6 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and a null identifier is never the smallest unless all are null.  Texts are
     read whole.  Extra columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     work = Scratch(docs.sparkSession, "simhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     prints = work.put(rows.mapInArrow(_fingerprints(width), "doc long, fp long"), "prints")
@@ -274,6 +276,7 @@ def similar_groups(rows: DataFrame, work: Scratch, width: int = 5, threshold: fl
     similarity ``threshold``.  Texts without words are in no group.  Groups of
     candidates beyond ``together`` are verified in pairs of blocks.
     """
+    small_batches(rows.sparkSession)
     text = F.col("text").cast("binary")
     prints = rows.select("k1", "k2", text.alias("text")).mapInArrow(_wide_rows(width), "k1 long, k2 long, high long, low long, n long").where("n > 0").drop("n")
     prints = work.put(prints.groupBy("k1", "k2").agg(F.first("high").alias("high"), F.first("low").alias("low")).withColumn("rid", F.monotonically_increasing_id()), "prints")
