@@ -8,15 +8,21 @@ bytes R, G, B, A).  A stream whose green code has literals only and whose other
 codes have one symbol each is decoded with array operations: the symbol and
 the next position are looked up for every bit position at once.
 
-Payload images are grey: one payload byte is the green sample of a pixel, 192
-pixels a row, and red and blue are made equal to it by the subtract-green
-transform.  A payload too high for one image becomes several in a row.
+Payload images are grey: one payload byte is the sample of a pixel, 192 pixels
+a row.  A payload too high for one image becomes several in a row.  Every image
+can be written as literals after the subtract-green transform, which decode with
+array operations.  A small image, and a large one that mostly repeats itself, is
+also written with back-references; the smallest with a colour cache instead of
+the transform, small ones of few samples with a palette and packed pixels, and
+those that a neighbour predicts well with predictions.  The shortest file is
+kept.  (Cross-colour can't shorten a grey image.)
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoalwater.session import small_batches
+
 #: Order in which code length code lengths are stored (fixed values of the format).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: Offsets (x, y) of the first 120 distance codes (fixed values of the format).
@@ -529,6 +537,198 @@ def encode_grey(samples: np.ndarray, width: int = ROW) -> bytes:
     return _file(np.concatenate([head, body.astype(np.uint8)]))
 
 
+#: Pixels of an image for which several ways of writing are tried, and how well a larger one must compress for back-references to be.
+SMALL, REPETITIVE = 4 * ROW, 12
+_CODES = {(max(1, x + y * ROW)): i + 1 for i, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """Prefix symbol, extra bits and their number, of a length or distance."""
+    if value <= 4:
+        return value - 1, 0, 0
+    n = (value - 1).bit_length() - 2
+    return 2 * (n + 1) + ((value - 1) >> n & 1), (value - 1) & (1 << n) - 1, n
+
+
+def copies(data: bytes, least: int = 4) -> Iterator[tuple[int, int, int]]:
+    """(position, length, distance) of repeats, greedily, from a table of the last place of every four bytes."""
+    seen: dict[bytes, int] = {}
+    at, n = 0, len(data)
+    while at + least <= n:
+        key = data[at : at + least]
+        from_ = seen.get(key)
+        seen[key] = at
+        if from_ is None:
+            at += 1
+            continue
+        size, step = least, 256
+        while step:  # as far as both agree, in ever smaller steps
+            if at + size + step <= n and size + step <= 4096 and data[at + size : at + size + step] == data[from_ + size : from_ + size + step]:
+                size += step
+            else:
+                step >>= 1
+        yield at, size, at - from_
+        for k in range(at + 1, min(at + size, n - least), 1 if size < 32 else 8):
+            seen[data[k : k + least]] = k
+        at += size
+
+
+def _tokens(samples: np.ndarray, cache_bits: int, references: bool) -> list[tuple[int, ...]]:
+    """(sample), (cache index, -1) or (length, distance code, 0) in order."""
+    data, out, at = samples.tobytes(), [], 0
+    cache: dict[int, int] = {}
+
+    def literals(to: int) -> None:
+        nonlocal at
+        for g in data[at:to]:
+            if cache_bits:
+                k = ((0xFF000000 | g * 0x10101) * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)
+                if cache.get(k) == g:
+                    out.append((k, -1))
+                    continue
+                cache[k] = g
+            out.append((g,))
+        at = to
+
+    for place, size, distance in copies(data) if references else ():
+        literals(place)
+        if cache_bits:  # copied colours enter the cache too
+            for g in data[place : place + size]:
+                cache[((0xFF000000 | g * 0x10101) * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = g
+        out.append((size, _CODES.get(distance, distance + 120), 0))
+        at = place + size
+    literals(len(data))
+    return out
+
+
+def _put_image(out: Writer, tokens: list[tuple[int, ...]], main: bool, cache_bits: int = 0, colours: list[tuple[int, int, int, int]] | None = None, fixed: tuple[int, int, int] = (0, 0, 255)) -> None:
+    """An entropy-coded image: ``colours`` gives (green, red, blue, alpha) of sample i; without it a sample is green and the rest ``fixed``."""
+    counts = [np.zeros(n, dtype=np.int64) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
+    of = (lambda g: (g, *fixed)) if colours is None else colours.__getitem__
+    for t in tokens:
+        if len(t) == 1:
+            for c, v in zip(counts, of(t[0])):
+                c[v] += 1
+        elif len(t) == 2:
+            counts[0][280 + t[0]] += 1
+        else:
+            counts[0][256 + _prefix(t[0])[0]] += 1
+            counts[4][_prefix(t[1])[0]] += 1
+    out.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    if main:
+        out.put(0, 1)
+    ways = []
+    for c in counts:
+        if not c.any():
+            c[0] = 1
+        lengths = code_lengths(c)
+        write_code(out, lengths)
+        single = (lengths > 0).sum() == 1
+        ways.append(([0] * len(lengths), [0] * len(lengths)) if single else (canonical(lengths).tolist(), lengths.tolist()))
+    put = lambda i, v: out.put(ways[i][0][v], ways[i][1][v])
+    for t in tokens:
+        if len(t) == 1:
+            for i, v in enumerate(of(t[0])):
+                put(i, v)
+        elif len(t) == 2:
+            put(0, 280 + t[0])
+        else:
+            for i, base, value in ((0, 256, t[0]), (4, 0, t[1])):
+                symbol, extra, n = _prefix(value)
+                put(i, base + symbol)
+                out.put(extra, n)
+
+
+def _begun(samples: np.ndarray) -> Writer:
+    out = Writer()
+    out.put(0x2F, 8)
+    out.put(ROW - 1, 14)
+    out.put(len(samples) // ROW - 1, 14)
+    out.put(0, 4)
+    return out
+
+
+def encode_references(samples: np.ndarray) -> bytes:
+    """Back-references over the green samples."""
+    out = _begun(samples)
+    out.put(1 | SUBTRACT_GREEN << 1, 3)
+    out.put(0, 1)
+    _put_image(out, _tokens(samples, 0, True), True)
+    return _file(out.array())
+
+
+def encode_cached(samples: np.ndarray, cache_bits: int = 7) -> bytes:
+    """No transform: a colour is written once and then taken from the cache."""
+    out = _begun(samples)
+    out.put(0, 1)
+    _put_image(out, _tokens(samples, cache_bits, True), True, cache_bits, [(g, g, g, 255) for g in range(256)])
+    return _file(out.array())
+
+
+def encode_palette(samples: np.ndarray) -> bytes:
+    """Up to sixteen samples as indices, two to eight of them in a pixel."""
+    colours, index = np.unique(samples, return_inverse=True)
+    n = len(colours)
+    packing = 3 if n <= 2 else 2 if n <= 4 else 1
+    bits, each = 8 >> packing, 1 << packing
+    rows = index.reshape(-1, ROW // each, each)
+    packed = (rows << np.arange(each) * bits).sum(axis=2).astype(np.uint8).reshape(-1)
+    out = _begun(samples)
+    out.put(1 | PALETTE << 1, 3)
+    out.put(n - 1, 8)
+    steps = np.diff(colours.astype(np.int64), prepend=0) & 255
+    _put_image(out, [(i,) for i in range(n)], False, 0, [(int(d), int(d), int(d), 0 if i else 255) for i, d in enumerate(steps)])
+    out.put(0, 1)
+    _put_image(out, [(int(g),) for g in packed], True)
+    return _file(out.array())
+
+
+def _residual(samples: np.ndarray, mode: int) -> np.ndarray:
+    """What is left of the samples after prediction from the left, top, top right or top left (modes 1 to 4)."""
+    i = np.arange(len(samples))
+    back = np.where(i < ROW, 1, np.where(i % ROW == 0, ROW, (1, ROW, ROW - 1, ROW + 1)[mode - 1]))
+    guess = np.where(i == 0, 0, samples[np.maximum(i - back, 0)])
+    return (samples.astype(np.int16) - guess & 255).astype(np.uint8)
+
+
+def encode_predicted(samples: np.ndarray) -> bytes:
+    """Differences from the neighbour that leaves the fewest kinds of difference, over one tile."""
+    mode = min(range(1, 5), key=lambda m: (_entropy(_residual(samples, m)), m))
+    out = _begun(samples)
+    out.put(1 | SUBTRACT_GREEN << 1, 3)
+    out.put(1 | PREDICT << 1, 3)
+    out.put(7, 3)
+    tiles = (ROW + 511 >> 9) * ((len(samples) // ROW) + 511 >> 9)
+    _put_image(out, [(mode,)] * tiles, False)
+    out.put(0, 1)
+    _put_image(out, _tokens(_residual(samples, mode), 0, True), True, fixed=(0, 0, 0))
+    return _file(out.array())
+
+
+def _entropy(samples: np.ndarray) -> float:
+    p = np.bincount(samples)
+    p = p[p > 0] / len(samples)
+    return float(-(p * np.log2(p)).sum())
+
+
+def encode_best(samples: np.ndarray) -> bytes:
+    """The shortest way of writing that is worth trying; plain literals if none is shorter."""
+    ways = [encode_grey(samples)]
+    if len(samples) <= SMALL:
+        ways.append(encode_references(samples))
+        if len(samples) == ROW:
+            ways.append(encode_cached(samples))
+        if len(np.unique(samples)) <= 16:
+            ways.append(encode_palette(samples))
+        if min(_entropy(_residual(samples, m)) for m in range(1, 5)) < 0.8 * _entropy(samples):
+            ways.append(encode_predicted(samples))
+    elif len(zlib.compress(samples.tobytes(), 1)) * REPETITIVE <= len(samples):
+        ways.append(encode_references(samples))
+    return min(ways, key=len)
+
+
 def payload_of(text: bytes) -> bytes:
     """The bytes followed by spaces up to a positive multiple of the row."""
     return text + b" " * (max(1, -(-len(text) // ROW)) * ROW - len(text))
@@ -537,7 +737,7 @@ def payload_of(text: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """A payload as one or more files in a row."""
     samples = np.frombuffer(payload, dtype=np.uint8)
-    return b"".join(encode_grey(samples[at : at + ROW * MOST_ROWS]) for at in range(0, len(samples), ROW * MOST_ROWS))
+    return b"".join(encode_best(samples[at : at + ROW * MOST_ROWS]) for at in range(0, len(samples), ROW * MOST_ROWS))
 
 
 def files(media: bytes) -> Iterator[bytes]:
@@ -582,6 +782,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts get equal media; rows are mapped one by one, so repeats and ties
     change nothing; an empty table stays empty; extra columns are dropped.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -260,3 +260,22 @@ def test_columns(spark):
         payload = webp.payload_of((dict(rows)[r.doc_id] or "").encode())
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), sha(payload), zlib.crc32(payload[-16:]))
     assert webp.encode_column(docs.limit(0)).count() == 0
+
+
+def test_every_way_of_writing():
+    """All encoders against the decoder, and which of them is kept where."""
+    rng = random.Random(8)
+    texts = [b"", b"a", b"ab" * 300, b"x" * 10_000, bytes(rng.randrange(256) for _ in range(700)), b"0101100111" * 60, ("é die und " * 70).encode(), b"a line that repeats\n" * 900, bytes(range(256)) * 3]
+    texts += [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(1, 900))) for _ in range(30)]
+    for t in texts:
+        payload = webp.payload_of(t)
+        samples = np.frombuffer(payload, dtype=np.uint8)
+        few = len(np.unique(samples)) <= 16
+        ways = {f.__name__: f(samples) for f in (webp.encode_grey, webp.encode_references, webp.encode_cached, webp.encode_predicted, *([webp.encode_palette] if few else []))}
+        assert all(webp.grey_pixels(m).tobytes() == payload for m in ways.values())
+        assert webp.store(payload) == webp.encode_best(samples) and len(webp.encode_best(samples)) <= len(ways["encode_grey"])
+    assert len(webp.store(webp.payload_of(b"a line that repeats\n" * 900))) < 300
+    slope = bytes(i * 7 % 256 for i in range(192))  # every sample differs from the one before by the same
+    assert webp.encode_best(np.frombuffer(slope, dtype=np.uint8)) != webp.encode_grey(np.frombuffer(slope, dtype=np.uint8))
+    two = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(768)), dtype=np.uint8)
+    assert webp.encode_best(two) == webp.encode_palette(two)
