@@ -13,8 +13,7 @@ a row.  A payload too high for one image becomes several in a row.  Every image
 can be written as literals after the subtract-green transform, which decode with
 array operations.  A small image, and a large one that mostly repeats itself, is
 also written with back-references; the smallest with a colour cache instead of
-the transform, small ones of few samples with a palette and packed pixels, and
-those that a neighbour predicts well with predictions.  The shortest file is
+the transform, those of few different samples with a palette and packed pixels, small ones that a neighbour predicts well with predictions.  The shortest file is
 kept.  (Cross-colour can't shorten a grey image.)
 """
 
@@ -519,6 +518,11 @@ def encode_grey(samples: np.ndarray, width: int = ROW) -> bytes:
     out.put(len(samples) // width - 1, 14)
     out.put(0, 4)
     out.put(1 | SUBTRACT_GREEN << 1, 3)
+    return _file(_literal_image(out, samples))
+
+
+def _literal_image(out: Writer, samples: np.ndarray) -> np.ndarray:
+    """The bits so far and those of a last image of green samples, as literals by array operations."""
     out.put(0, 3)  # no further transform, no colour cache, one group of codes
     lengths = np.zeros(280, dtype=np.int64)
     lengths[:256] = code_lengths(np.bincount(samples, minlength=256), 12)  # short tables decode faster
@@ -529,12 +533,12 @@ def encode_grey(samples: np.ndarray, width: int = ROW) -> bytes:
         write_code(out, one)
     head = out.array()
     if (lengths > 0).sum() == 1:
-        return _file(head)
+        return head
     size = lengths[samples]
     start = np.cumsum(size) - size
     place = np.arange(int(size.sum())) - np.repeat(start, size)
     body = np.repeat(canonical(lengths)[samples].astype(np.uint16), size) >> place.astype(np.uint16) & np.uint16(1)
-    return _file(np.concatenate([head, body.astype(np.uint8)]))
+    return np.concatenate([head, body.astype(np.uint8)])
 
 
 #: Pixels of an image for which several ways of writing are tried, and how well a larger one must compress for back-references to be.
@@ -573,7 +577,7 @@ def copies(data: bytes, least: int = 4) -> Iterator[tuple[int, int, int]]:
         at += size
 
 
-def _tokens(samples: np.ndarray, cache_bits: int, references: bool) -> list[tuple[int, ...]]:
+def _tokens(samples: np.ndarray, cache_bits: int, references: bool, near: dict[int, int] = _CODES) -> list[tuple[int, ...]]:
     """(sample), (cache index, -1) or (length, distance code, 0) in order."""
     data, out, at = samples.tobytes(), [], 0
     cache: dict[int, int] = {}
@@ -595,7 +599,7 @@ def _tokens(samples: np.ndarray, cache_bits: int, references: bool) -> list[tupl
         if cache_bits:  # copied colours enter the cache too
             for g in data[place : place + size]:
                 cache[((0xFF000000 | g * 0x10101) * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = g
-        out.append((size, _CODES.get(distance, distance + 120), 0))
+        out.append((size, near.get(distance, distance + 120), 0))
         at = place + size
     literals(len(data))
     return out
@@ -680,8 +684,10 @@ def encode_palette(samples: np.ndarray) -> bytes:
     out.put(n - 1, 8)
     steps = np.diff(colours.astype(np.int64), prepend=0) & 255
     _put_image(out, [(i,) for i in range(n)], False, 0, [(int(d), int(d), int(d), 0 if i else 255) for i, d in enumerate(steps)])
+    if len(samples) > SMALL:
+        return _file(_literal_image(out, packed))
     out.put(0, 1)
-    _put_image(out, [(int(g),) for g in packed], True)
+    _put_image(out, _tokens(packed, 0, True, {}), True)  # rows are shorter: no near distances
     return _file(out.array())
 
 
@@ -720,12 +726,12 @@ def encode_best(samples: np.ndarray) -> bytes:
         ways.append(encode_references(samples))
         if len(samples) == ROW:
             ways.append(encode_cached(samples))
-        if len(np.unique(samples)) <= 16:
-            ways.append(encode_palette(samples))
         if min(_entropy(_residual(samples, m)) for m in range(1, 5)) < 0.8 * _entropy(samples):
             ways.append(encode_predicted(samples))
     elif len(zlib.compress(samples.tobytes(), 1)) * REPETITIVE <= len(samples):
         ways.append(encode_references(samples))
+    if np.count_nonzero(np.bincount(samples)) <= 16:
+        ways.append(encode_palette(samples))
     return min(ways, key=len)
 
 
