@@ -226,6 +226,8 @@ ORACLES = {
     # Documents hold no Taiwanese numbers: only bare card numbers of known issuers can be found in them.
     "pii_redaction_counts": f"""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda x: CASE WHEN length(x) = 16 AND regexp_matches(x, '^(?:4|5[1-5]|34|37|35)') THEN {_luhn_sql("x")} ELSE false END) AS c FROM documents WHERE doc_id IN (SELECT doc_id FROM ({"WITH " + DOC_SENTENCES + " SELECT DISTINCT doc_id FROM sent"})))
       SELECT doc_id, 0::BIGINT AS tw_id, 0::BIGINT AS tw_mobile, 0::BIGINT AS tw_landline, len(c)::BIGINT AS credit_card FROM d""",
+    "redacted_sentences": f"""WITH {DOC_SENTENCES}, f AS (SELECT doc_id, s, text, list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: CASE WHEN length(x) = 16 AND regexp_matches(x, '^(?:4|5[1-5]|34|37|35)') THEN {_luhn_sql("x")} ELSE false END) AS c FROM sent)
+      SELECT doc_id, 0 AS m, s, list_reduce(list_concat([text], list_distinct(c)), lambda a, x: replace(a, x, '<CREDIT_CARD>')) AS text, 0 AS tw_id, 0 AS tw_mobile, 0 AS tw_landline, len(c)::INTEGER AS credit_card FROM f WHERE len(c) > 0""",
     "pii_card_luhn": f"""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) = 16) AS d FROM documents)
       SELECT doc_id, len(d) AS n_numbers, len(list_filter(d, lambda x: regexp_matches(x, '^(?:4|5[1-5]|34|37|35)') AND {_luhn_sql("x")})) AS n_cards FROM d WHERE len(d) > 0""",
 }
