@@ -85,6 +85,10 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these, which later steps read."""
+        self.drop(*(set(self.paths) - set(names)))
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
