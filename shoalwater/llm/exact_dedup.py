@@ -114,6 +114,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     work = Scratch(docs.sparkSession, "exact-dedup")
     named = work.put(document_names(docs, id_col, text_col, work, block_bytes, digest_bits), "named")
+    work.keep("named")
     groups = named.groupBy("level", "name").agg(
         F.count("*").alias("group_size"),
         F.min(F.struct((-F.col("n_points")).alias("shortness"), F.col("doc"))).alias("best"),

@@ -173,6 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = work.put(rooted, "rooted")
     least = work.put(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = work.put(rooted.join(least, "root").select("fp", "component_id"), "named")
+    work.keep("prints", "named")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select(F.col("doc").alias(id_col), text.alias("fingerprint"), "component_id")
 

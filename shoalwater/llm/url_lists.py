@@ -22,13 +22,13 @@ from pyspark.sql import Window as W
 
 from shoalwater.scratch import Scratch
 
-_AUTHORITY = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+_AUTHORITY = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]+)"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]+)"
 BIN_DAYS = 32
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of an absolute URL, without a final dot; null if there is none."""
+    """Lower-case host of an absolute URL, without a final dot (an IPv6 address keeps its brackets); null if there is none."""
     host = F.regexp_replace(F.regexp_extract(F.lower(url), _AUTHORITY, 1), r"\.+$", "")
     return F.when(host != "", host)
 
@@ -114,7 +114,7 @@ WITH c AS (
   SELECT page_id, lower(url) AS low, url,
          CAST(DATE '2024-01-01' + CAST(page_id * 37 % 730 AS INTEGER) AS DATE) AS fetched FROM pages),
 h AS (
-  SELECT *, nullif(regexp_replace(regexp_extract(low, '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host FROM c),
+  SELECT *, nullif(regexp_replace(regexp_extract(low, '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]+)', 1), '\.+$', ''), '') AS host FROM c),
 k AS (
   SELECT DISTINCT 'host:' || host AS key FROM h WHERE host IS NOT NULL
   UNION

@@ -40,6 +40,12 @@ def test_lists_as_of(spark):
     assert url_lists.judge_captures(cap.limit(0), ev).count() == 0
 
 
+def test_hosts(spark):
+    urls = {"http://[::1]:80/x": "[::1]", "https://u:p@[2001:DB8::7]/": "[2001:db8::7]", "HTTP://A.b./": "a.b", "http:///x": None, "a.b": None, None: None, "ftp://x:1": "x", "http://[::1": None}
+    got = {r.u: r.h for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", url_lists.host_of(url_lists.F.col("u")).alias("h")).collect()}
+    assert got == urls
+
+
 def test_bands():
     bands, rows = para.tune_bands(0.8)
     assert bands * rows <= 64 and 1 - (1 - 0.8**rows) ** bands >= 0.999 and rows >= 3
