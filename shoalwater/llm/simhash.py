@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from shoalwater.llm.buckets import breadth_first, sorted_groups
 from shoalwater.llm.components import components
-from shoalwater.llm.shingling import mixed, shingle_digests, similar
+from shoalwater.llm.shingling import mixed, shingle_digests, shingle_sets, similar
 from shoalwater.scratch import Scratch
 from shoalwater.session import small_batches
 
@@ -257,6 +257,26 @@ def _wide_links(most: int):
     return run
 
 
+def _against_leader(width: int, threshold: float):
+    """(root, rid, size, near) of rows (root, rid, text, leader): whether the two texts are similar."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                roots, texts = part.column(0).to_pylist(), [t.as_py() or b"" for t in part.column(2)]
+                near = []
+                for i, (root, own) in enumerate(zip(roots, shingle_sets(texts, width), strict=True)):
+                    if last[0] != root:
+                        last = (root, shingle_sets([part.column(3)[i].as_py() or b""], width)[0])
+                    common = len(np.intersect1d(own, last[1], assume_unique=True))
+                    near.append(common > 0 and common >= threshold * (len(own) + len(last[1]) - common) - 1e-9)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(near, pa.bool_())], names=["root", "rid", "size", "near"])
+
+    return run
+
+
 def _verified(width: int, threshold: float):
     """Links of rows (key, block, id, text) sorted by key and block whose texts are similar."""
 
@@ -269,13 +289,14 @@ def _verified(width: int, threshold: float):
     return run
 
 
-def similar_groups(rows: DataFrame, work: Scratch, width: int = 5, threshold: float = 0.8, most: int = 4096, together: int = 128) -> DataFrame:
+def similar_groups(rows: DataFrame, work: Scratch, width: int = 5, threshold: float = 0.8, most: int = 4096, together: int = 1 << 23) -> DataFrame:
     """(k1, k2, root): group of each row of ``rows`` (k1, k2, text) that is similar, over others or directly, to another row.
 
     (k1, k2) identifies a row; rows with the same pair count once.  Similar are
     texts whose sets of ``width``-word shingles have at least the Jaccard
-    similarity ``threshold``.  Texts without words are in no group.  Groups of
-    candidates beyond ``together`` are verified in pairs of blocks.
+    similarity ``threshold``.  Texts without words are in no group.  In a group of
+    candidates all are verified against the first; those that are not similar
+    to it meet the whole group, in blocks of ``together`` bytes of text.
     """
     small_batches(rows.sparkSession)
     text = F.col("text").cast("binary")
@@ -298,15 +319,24 @@ def similar_groups(rows: DataFrame, work: Scratch, width: int = 5, threshold: fl
     alike = prints.join(distinct, ["high", "low"]).where("rid <> rep").select(F.col("rep").alias("a"), F.col("rid").alias("b"))
     candidate = work.put(components(near.union(alike), work), "candidate").withColumnRenamed("node", "rid")
     work.drop("found")
-    size = candidate.groupBy("root").agg(F.ceil(F.count("*") / (together // 2)).cast("long").alias("n"))
-    member = candidate.join(work.put(size, "sizes"), "root").withColumn("own", F.pmod(F.xxhash64("rid"), "n")).withColumn("other", F.explode(F.expr("sequence(0L, n - 1)")))
-    # Blocks of a group: every two of them meet, one that is alone meets itself.
-    block = F.when(F.col("n") <= 2, F.lit(0)).otherwise(F.least("own", "other") * F.col("n") + F.greatest("own", "other")).cast("long")
-    member = member.select(F.col("root").alias("key"), block.alias("block"), "rid").distinct()
     need = prints.join(candidate.select("rid"), "rid").select("k1", "k2", "rid")
     held = work.put(rows.join(need, ["k1", "k2"]).dropDuplicates(["rid"]).select("rid", text.alias("text")), "held")
-    full = member.join(held, "rid").select("key", "block", "rid", "text").repartition("key", "block").sortWithinPartitions("key", "block", "rid")
-    verified = components(full.mapInArrow(_verified(width, threshold), "a long, b long"), work)
+    # Every member against the first of its group; linear, and in a group of near copies it settles nearly all.
+    leader = held.select(F.col("rid").alias("root"), F.col("text").alias("leader"))
+    against = candidate.where("rid <> root").join(held, "rid").join(leader, "root").select("root", "rid", "text", "leader")
+    starred = work.put(against.mapInArrow(_against_leader(width, threshold), "root long, rid long, size long, near boolean"), "starred")
+    links = starred.where("near").select(F.col("root").alias("a"), F.col("rid").alias("b"))
+    strangers = starred.where("not near")
+    if not strangers.isEmpty():
+        # The others against all: their blocks meet the blocks of the whole group.
+        count = lambda frame, name: frame.groupBy("root").agg(F.ceil(F.sum("size") / together).cast("long").alias(name))
+        counts = work.put(count(strangers, "n").join(count(starred, "m"), "root"), "counts")
+        dealt = lambda frame, own, other: frame.join(counts, "root").withColumn(own, F.pmod(F.xxhash64("rid"), "n" if own == "i" else "m")).withColumn(other, F.explode(F.expr(f"sequence(0L, {'m' if own == 'i' else 'n'} - 1)")))
+        both = dealt(strangers, "i", "j").unionByName(dealt(starred, "j", "i"))
+        member = both.select(F.col("root").alias("key"), (F.col("i") * F.col("m") + F.col("j")).alias("block"), "rid").distinct()
+        full = member.join(held, "rid").select("key", "block", "rid", "text").repartition("key", "block").sortWithinPartitions("key", "block", "rid")
+        links = links.union(full.mapInArrow(_verified(width, threshold), "a long, b long"))
+    verified = components(links, work)
     groups = work.put(verified.join(prints.select("k1", "k2", "rid"), F.col("node") == F.col("rid")).select("k1", "k2", "root"), "groups")
-    work.drop("prints", "distinct", "candidate", "sizes", "held")
+    work.drop("prints", "distinct", "candidate", "held", "starred", "counts")
     return groups

@@ -163,7 +163,7 @@ def test_similar_groups(spark):
     sets = {i: shingle_set(t) for i, _, t in rows}
     df = spark.createDataFrame(rows, "k1 long, k2 long, text string").repartition(4)
     pairs = [(a, b) for a, _, _ in rows for b, _, _ in rows if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    for together in (128, 8):
+    for together in (1 << 23, 3000):
         root = {r.k1: r.root for r in simhash.similar_groups(df, simhash.Scratch(spark, "test"), together=together).collect()}
         found = sum(a in root and root[a] == root.get(b) for a, b in pairs)
         assert found >= 0.95 * len(pairs) and len(pairs) > 100
