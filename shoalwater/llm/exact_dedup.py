@@ -7,8 +7,10 @@ adjacent names are paired, the distinct pairs are sorted and numbered in turn,
 and so on until one name is left for each document.  Two documents have the
 same (level, name) exactly if their texts are equal; no digest decides it.
 
-Plan.  Block contents cross the network twice, after map-side elimination of
-repeats: to meet their copies, and by range to be sorted and numbered.  Occurrences fetch their numbers by a
+Plan.  Block contents cross the network once, after map-side elimination of
+repeats, to be sorted and numbered inside their hash partition: names are
+integers in the order of (partition, contents).  (One order over all contents
+would move them twice and send samples of them to the driver.)  Occurrences fetch their numbers by a
 64-bit routing digest instead of by content; the digest is first shown to be
 injective on the sorted blocks of this very corpus, and if it is not, the join
 runs on the contents.  Later levels move rows of a few integers, only for
@@ -46,8 +48,8 @@ def _digest(block: Column, bits: int) -> Column:
 
 
 def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Sorted over all partitions and numbered: the numbers are in the order of the keys, however many partitions there are; (range, rank) packs into one integer."""
-    return distinct.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("name"))
+    """Sorted within their shuffle partition and numbered; (partition, rank) packs into one integer."""
+    return distinct.sortWithinPartitions(*keys).select(*keys, F.monotonically_increasing_id().alias("name"))
 
 
 def document_names(docs: DataFrame, id_col: str, text_col: str, work: Scratch, block_bytes: int = 4096, digest_bits: int = 64) -> DataFrame:
@@ -66,8 +68,8 @@ def document_names(docs: DataFrame, id_col: str, text_col: str, work: Scratch, b
     meta = work.put(described(False), "meta")
     blocks = norm.select(F.explode(_cut(F.col("norm"), block_bytes)).alias("block")).select(_digest(F.col("block"), digest_bits).alias("digest"), "block")
     blocks = blocks.groupBy("digest", "block").agg(F.lit(1).alias("one"))
-    # One order over all contents; the content itself is not written.
-    named = blocks.orderBy("block").select("digest", F.monotonically_increasing_id().alias("name"))
+    # Sorted by content; the content itself is not written.
+    named = blocks.sortWithinPartitions("block").select("digest", F.monotonically_increasing_id().alias("name"))
     named = work.put(named, "names")
     if named.groupBy("digest").count().where("count > 1").isEmpty():
         at = meta.select("rid", "n_blocks", F.posexplode("digests").alias("pos", "digest"))
