@@ -233,21 +233,26 @@ def _wide_links(most: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), dtype=bool)), *map(pa.array, (key, high, low, high, low))], names=names)
                 continue
             sizes = np.diff(starts)
-            left, right = [], []
+            # Rows are sorted, so the first of a group is its least: most link to it, which is the same in many groups.
+            head = np.repeat(starts[:-1], sizes)
+            own = np.arange(len(key))
+            near = (own != head) & (apart(high, low, head, own) <= FARTHEST)
+            left, right = [head[near]], [own[near]]
+            settled = near | (own == head)
             small = np.repeat(sizes <= 8, sizes)
-            for step in range(1, 8):  # small groups: neighbours at every distance, for all groups together
-                i = np.flatnonzero((key[:-step] == key[step:]) & small[:-step]) if len(key) > step else np.zeros(0, dtype=np.int64)
-                if not len(i):
-                    break
+            for step in range(1, 8):  # the others of small groups: neighbours at every distance, for all groups together
+                i = np.flatnonzero((key[:-step] == key[step:]) & small[:-step] & ~(settled[:-step] & settled[step:])) if len(key) > step else np.zeros(0, dtype=np.int64)
                 i = i[apart(high, low, i, i + step) <= FARTHEST]
                 left.append(i)
                 right.append(i + step)
-            for s, n in zip(starts[:-1][sizes > 8], sizes[sizes > 8], strict=True):
-                found = breadth_first(int(n), lambda i, rest, s=s: apart(high, low, np.array([s + i]), s + rest) <= FARTHEST)
-                if found:
-                    i, j = np.array(found).T
-                    left.append(s + i)
-                    right.append(s + j)
+            for s, n in zip(starts[:-1][sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
+                if not settled[s : s + n].all():
+                    found = breadth_first(n, lambda i, rest, s=s: apart(high, low, np.array([s + i]), s + rest) <= FARTHEST)
+                    found = [(s + i, s + j) for i, j in found if not (settled[s + i] and settled[s + j])]
+                    if found:
+                        i, j = np.array(found).T
+                        left.append(i)
+                        right.append(j)
             if left:
                 i, j = np.concatenate(left), np.concatenate(right)
                 if len(i):
