@@ -7,8 +7,10 @@ import hashlib
 import io
 import json
 import zipfile
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from shoalwater.functions.weights import Weights
@@ -147,22 +149,49 @@ def answer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.read_answers(spark, path).select(F.regexp_extract("answer", "answer ([0-9]+)", 1).cast("long").alias("doc_id"), "answer")
 
 
+#: Bytes of text that the driver holds at once, about, while it plays a service and its client.
+AT_ONCE = 8 << 20
+
+
+def _in_order(rows: DataFrame, key: str, text: str) -> Iterator[Row]:
+    """All rows by ``key``, from ranges of about AT_ONCE bytes; the driver fetches one range at a time."""
+    size = rows.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
+    return rows.repartitionByRange(1 + size // AT_ONCE, key).sortWithinPartitions(key).toLocalIterator()
+
+
+def _lines(pages: Iterable[list[dict]]) -> Iterator[bytes]:
+    """JSON lines of all pages, in pieces of about AT_ONCE bytes; no pages, no lines: one empty piece."""
+    held, size = [], 0
+    for page in pages:
+        held.append("".join(json.dumps(n, ensure_ascii=False) + "\n" for n in page).encode())
+        size += len(held[-1])
+        if size >= AT_ONCE:
+            yield b"".join(held)
+            held, size = [], 0
+    yield b"".join(held)
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, text, CASE WHEN doc_id % 2 = 0 THEN 'c1' ELSE '' END AS categories, CASE WHEN doc_id % 3 = 0 THEN 'RUMOR' ELSE '' END AS replies FROM documents")
 def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles by cursor from pages of 100, only categories and replies that still stand."""
-    docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").collect()]  # plays the remote service
+    docs = _in_order(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")  # plays the remote service
+    served = None
 
     def service(url: str, body: bytes) -> tuple[int, bytes]:
+        nonlocal served
         after = json.loads(body)["variables"]["after"]
+        if after != served:
+            raise ValueError(f"the service goes forward only: {after} after {served}")
         at = 0 if after is None else int(after) + 1
         edges = [{"cursor": str(at + i), "node": {
             "id": str(d), "text": t, "createdAt": "2024-01-01", "articleCategories": [{"categoryId": "c1", "status": "NORMAL" if d % 2 == 0 else "DELETED"}], "articleReplies": [{"replyType": "RUMOR", "status": "NORMAL" if d % 3 == 0 else "DELETED"}],
-        }} for i, (d, t) in enumerate(docs[at : at + feeds.PAGE])]
+        }} for i, (d, t) in enumerate(islice(docs, feeds.PAGE))]
+        served = edges[-1]["cursor"] if edges else served
         return 200, json.dumps({"data": {"ListArticles": {"edges": edges}}}).encode()
 
     folder = _folder(spark, "articles")
-    for i, page in enumerate(feeds.article_pages("query", {}, "https://service", service)):
-        write_file(spark, f"{folder}/{i:05d}.jsonl", "".join(json.dumps(n, ensure_ascii=False) + "\n" for n in page).encode())
+    for i, lines in enumerate(_lines(feeds.article_pages("query", {}, "https://service", service))):
+        write_file(spark, f"{folder}/{i:05d}.jsonl", lines)
     nodes = loaders.read_jsonl(spark, folder, "id string, text string, createdAt string, articleCategories array<struct<categoryId:string,status:string>>, articleReplies array<struct<replyType:string,status:string>>")
     return feeds.article_records(nodes).select("id", "text", F.array_join("category_ids", ",").alias("categories"), F.array_join("reply_types", ",").alias("replies"))
 

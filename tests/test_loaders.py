@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shoalwater.functions import stats
 from shoalwater.functions.weights import Weights
 from shoalwater.operators import evaluate, ngram, prompting, reporting
+from shoalwater.plans import file_queries
 from shoalwater.plans.file_queries import MANIFEST, weights_toml
 from shoalwater.sources import feeds, loaders, snapshots
 
@@ -77,6 +78,23 @@ def test_pages_of_articles():
         fetch({None: (500, b"")})
 
 
+def test_articles_pass_the_driver_in_pieces(spark, tmp_path):
+    text = F.concat(*(F.sha2(F.concat_ws("-", "doc_id", F.lit(k)), 512) for k in range(64)))
+    docs = spark.range(0, 4100, 1, 8).withColumnRenamed("id", "doc_id").select("doc_id", F.when(F.col("doc_id") != 7, text).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "20m")  # 33 MB of texts
+    try:
+        got = file_queries.article_pages(spark, str(tmp_path))
+        assert got.count() == 4100 and got.where("text is null").count() == 1
+        want = docs.selectExpr("cast(doc_id as string) id", "text", "if(doc_id % 2 = 0, 'c1', '') categories", "if(doc_id % 3 = 0, 'RUMOR', '') replies")
+        assert got.exceptAll(want).count() == 0
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert file_queries.article_pages(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_downloads():
     assert feeds.fetch_all({"a": "u1", "b": "u2"}, lambda url, body: (200, url.encode())) == {"a": b"u1", "b": b"u2"}
     for answer, says in (((404, b"x"), "status 404"), ((200, b""), "empty")):
