@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -94,30 +94,37 @@ def joins(ranks: dict[bytes, int]) -> dict[int, int]:
     }
 
 
-def merge(piece: list[int], pair: dict[int, int], size: int) -> list[int]:
-    """Merge neighbouring ids (at first one for each byte) until no two neighbours join."""
-    n, get = len(piece), pair.get
-    rank = [get(a * size + b) for a, b in zip(piece, piece[1:])]  # of the pair that begins here, while there is one
-    rank.append(None)
-    heap = [r * n + i for i, r in enumerate(rank) if r is not None]
-    heapq.heapify(heap)
+def merge(piece: list[int], rank: list[int | None], right: list[dict[int, int]]) -> list[int]:
+    """Merge neighbouring ids (at first one for each byte) until no two neighbours join.
+
+    ``right[a][b]`` is the id of a and b joined; ``rank`` has it for each piece and the next, None for the last.
+    """
+    n = len(piece)
+    shift = n.bit_length()
+    mask = (1 << shift) - 1
+    heap = [r << shift | i for i, r in enumerate(rank) if r is not None]
+    heapify(heap)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
-        r, i = divmod(heapq.heappop(heap), n)
+        r = heappop(heap)
+        i = r & mask
+        r >>= shift
         if rank[i] != r:
             continue  # one of the two has been merged since
         j, h = after[i], before[i]
         after[i] = k = after[j]
-        piece[i], piece[j], rank[j], rank[i] = r, -1, None, None
+        piece[i], piece[j], rank[j] = r, -1, None
         if k < n:
             before[k] = i
-            if (s := get(r * size + piece[k])) is not None:
-                rank[i] = s
-                heapq.heappush(heap, s * n + i)
+            rank[i] = s = right[r].get(piece[k])
+            if s is not None:
+                heappush(heap, s << shift | i)
+        else:
+            rank[i] = None
         if h >= 0:
-            rank[h] = s = get(piece[h] * size + r)
+            rank[h] = s = right[piece[h]].get(r)
             if s is not None:
-                heapq.heappush(heap, s * n + h)
+                heappush(heap, s << shift | h)
     return [x for x in piece if x >= 0]
 
 
@@ -134,53 +141,131 @@ LATER = (
 _OTHER = "\ue000"
 
 
+#: Parts of a pattern: classes of characters, escapes, brackets, single characters.
+_PARTS = re.compile(r"\\p\{[LN]\}|\\.|\[\^?|.", re.S)
+_WIDE = re.compile("[\U00010000-\U0010ffff]")
+
+
+def spelled(pattern: str, top: int) -> str | None:
+    r"""The pattern with \p{L}, \p{N}, \s and \S as the ranges they have below ``top``, for the faster engine; None if it has other escapes or flags.
+
+    Letters and numbers of LATER are left out, so they count as other characters.
+    """
+    if re.search(r"\(\?(?![!=:])|\[\^?\]", pattern):
+        return None
+    later, chars = re.compile(f"[{LATER}]"), [chr(c) for c in range(top) if not 0xD800 <= c < 0xE000]
+
+    def ranges(name: str) -> str:
+        out: list[list[int]] = []
+        hit = regex.compile(name).match
+        for c in chars:
+            if hit(c) and (name == r"\s" or not later.match(c)):
+                if out and out[-1][1] == ord(c) - 1:
+                    out[-1][1] += 1
+                else:
+                    out.append([ord(c), ord(c)])
+        return "".join(f"\\u{a:04x}-\\u{z:04x}" for a, z in out)
+
+    known = {name: ranges(name) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    made, inside = [], False
+    for part in _PARTS.findall(pattern):
+        if part in known:
+            part = known[part] if inside else f"[{known[part]}]"
+        elif part == r"\S" and not inside:
+            part = f"[^{known[chr(92) + 's']}]"
+        elif part[0] == "\\":
+            return None
+        elif part[0] == "[":
+            if inside:
+                return None
+            inside = True
+        elif part == "]":
+            inside = False
+        made.append(part)
+    return "".join(made)
+
+
+#: Pre-tokens that a worker remembers, twice, beside other stages or alone; just below what Python's tables of 2**17 and 2**19 places take before they double.
+REMEMBER, REMEMBER_MORE = 87_000, 349_000
+
+
+class _Memory(dict):
+    """Ids by pre-token; what is missing is found by ``one``."""
+
+    def __init__(self, one):
+        self.one = one
+
+    def __missing__(self, token: str) -> bytes:
+        return self.one(token)
+
+
 class Encoder:
-    """Text to token ids; twice ``remember`` bounds the table of recent pre-tokens."""
+    """Text to token ids; twice ``remember`` bounds the table of recent pre-tokens.
 
-    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pair: dict[int, int], pattern: str, remember: int = 60_000):
-        self.table, self.pair, self.size, self.remember = table, pair, max(ranks.values()) + 1, remember
+    Ids are remembered as packed 32-bit numbers, so a text's ids are one join of
+    bytes.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pair: dict[int, int], pattern: str, remember: int = REMEMBER, quick: tuple[str | None, str | None] | None = None):
+        self.table, self.size, self.remember = table, max(ranks.values()) + 1, remember
         self.bytes = [ranks[bytes([b])] for b in range(256)]
-        self.shared = list(range(self.size))  # one object for each id, however often it is remembered
+        none: dict[int, int] = {}
+        self.right = [none] * self.size
+        for both, rank in pair.items():
+            a, b = divmod(both, self.size)
+            if self.right[a] is none:
+                self.right[a] = {}
+            self.right[a][b] = rank
+        self.two = [self.right[a].get(b) for a in self.bytes for b in self.bytes]
         self.pattern, self.later = regex.compile(pattern), re.compile(f"[{LATER}]")
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        narrow, plane = quick or (spelled(pattern, 0x80), spelled(pattern, 0x10000))
+        self.narrow, self.plane = (re.compile(p).findall if p else None for p in (narrow, plane))
+        self.recent, self.older = _Memory(self.one), {}
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
+        if self.narrow and text.isascii():
+            return self.narrow(text)
+        if self.plane and not _WIDE.search(text):
+            return self.plane(text)
         if text.isascii() or not self.later.search(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(self.later.sub(_OTHER, text))]
 
-    def one(self, token: str) -> tuple[int, ...]:
-        """Ids of a pre-token that is not among the recent ones."""
-        ids = self.older.get(token)
+    def one(self, token: str) -> bytes:
+        """Packed ids of a pre-token that is not among the recent ones (or was not when its text began)."""
+        ids = self.recent.get(token) or self.older.get(token)
         if ids is None:
             data = token.encode("utf-8", "surrogatepass")
             rank = self.table.get(data)
-            found = [rank] if rank is not None else merge([self.bytes[b] for b in data], self.pair, self.size)
-            ids = tuple([self.shared[i] for i in found])
+            ids = array("i", self.merged(data) if rank is None else [rank]).tobytes()
         if len(token) <= 64:
             if len(self.recent) >= self.remember:
-                self.older, self.recent = self.recent, {}
+                self.older, self.recent = self.recent, _Memory(self.one)
             self.recent[token] = ids
         return ids
 
+    def merged(self, data: bytes) -> list[int]:
+        """Ids of bytes that are no entry."""
+        byte, two = self.bytes, self.two
+        return merge([byte[b] for b in data], [*[two[a << 8 | b] for a, b in zip(data, data[1:])], None], self.right)
+
+    def packed(self, text: str) -> np.ndarray:
+        """The token ids of a text."""
+        return np.frombuffer(b"".join(map(self.recent.__getitem__, self.split(text))), dtype=np.int32)
+
     def __call__(self, text: str) -> list[int]:
-        tokens = self.split(text)
-        found = list(map(self.recent.get, tokens))
-        if None in found:
-            found = [self.recent.get(t) or self.one(t) if ids is None else ids for t, ids in zip(tokens, found, strict=True)]
-        return list(chain.from_iterable(found))
+        return self.packed(text).tolist()
 
 
 def _encoded(texts: pa.Array, encode: Encoder) -> pa.ListArray:
-    return _lists([encode(t.as_py() or "") for t in texts])
+    return _lists([encode.packed(t.as_py() or "") for t in texts])
 
 
-def _lists(ids: list[list[int]]) -> pa.ListArray:
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(ids) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int32), *ids])))
 
 
 def _decoded(lists: pa.Array, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
@@ -205,13 +290,13 @@ def _slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
 class Tokenizer:
     """Driver-side handle: reads the rank file once and ships it to executors."""
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, remember: int = REMEMBER):
         small_batches(spark)
         ranks = read_ranks(path)
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the vocabulary must hold every byte")
-        name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
-        self.shared = spark.sparkContext.broadcast((name, (ranks, PerfectHash(ranks), joins(ranks), pattern)))
+        name = hashlib.sha256(repr((sorted(ranks.items()), pattern, remember)).encode()).hexdigest()
+        self.shared = spark.sparkContext.broadcast((name, (ranks, PerfectHash(ranks), joins(ranks), pattern, remember), (spelled(pattern, 0x80), spelled(pattern, 0x10000))))
         pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token
@@ -265,10 +350,10 @@ class Tokenizer:
             encode = _worker(shared)
             decimal = list(map(str, range(encode.size)))
             for part in _slices(batches):
-                ids = [encode(t.as_py() or "") for t in part.column(1)]
+                ids = [encode.packed(t.as_py() or "") for t in part.column(1)]
                 lists = _lists(ids)
                 columns = [part.column(0), *([lists] if keep_ids else []), pc.cast(pc.list_value_length(lists), pa.int64())]
-                listed = [hashlib.sha256(",".join([decimal[i] for i in x]).encode()).hexdigest() for x in ids]
+                listed = [hashlib.sha256(",".join([decimal[i] for i in x.tolist()]).encode()).hexdigest() for x in ids]
                 data = [hashlib.sha256(x.as_buffer()).hexdigest() for x in _decoded(lists, pieces.value)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(listed), pa.array(data)], names=["doc", *(["ids"] if keep_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -282,10 +367,10 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def _worker(shared) -> Encoder:
     """The encoder of a vocabulary, named by its digest, kept from task to task of a worker process."""
-    name, parts = shared.value
+    name, parts, quick = shared.value
     if name not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(*parts)
+        _ENCODERS[name] = Encoder(*parts, quick=quick)
     return _ENCODERS[name]
 
 

@@ -59,7 +59,7 @@ def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text, encoded and decoded again."""
-    tokenizer = byte_bpe.Tokenizer(spark, RANKS, public_tokenizers.PATTERN)
+    tokenizer = byte_bpe.Tokenizer(spark, RANKS, public_tokenizers.PATTERN, byte_bpe.REMEMBER_MORE)
     return tokenizer.round_trip(documents(spark, sf_dir), keep_ids=False)
 
 

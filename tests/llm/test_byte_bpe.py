@@ -40,6 +40,30 @@ def test_encoder(ranks, reference):
         assert encode(t) == reference.encode_ordinary(t)
 
 
+def test_splitter_by_ranges(ranks):
+    """The faster engine splits every character, alone and between others, as the pattern's own does."""
+    encode = bpe.Encoder(ranks, bpe.PerfectHash({}), {}, P.PATTERN)
+    assert encode.narrow and encode.plane
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    made = [f"{a} {c}{c}a{c}1 {c}\n{c}{b} '{c} 's{c}" for a, b, c in zip(chars[7:], chars[3:], chars)] + texts()
+    own = lambda t: [t[m.start() : m.end()] for m in encode.pattern.finditer(encode.later.sub(bpe._OTHER, t))]
+    assert all(encode.split(t) == own(t) for t in made)
+    assert bpe.spelled(r"\p{Lu}+", 0x80) is None and bpe.spelled(r"(?i)a", 0x80) is None and bpe.spelled(r"[a[b]]", 0x80) is None
+
+
+def test_invented_words_are_remembered(ranks):
+    """A text of more words than the vocabulary has: the second time none is merged anew, also where the memory is small."""
+    merged = []
+    encode = bpe.Encoder(ranks, bpe.PerfectHash(ranks), bpe.joins(ranks), P.PATTERN, bpe.REMEMBER_MORE)
+    get = encode.table.get
+    encode.table.get = lambda data: merged.append(data) or get(data)
+    text = " ".join(f"{bpe.base64.b32encode(str(i * 7919).encode()).decode().rstrip('=').lower()}" for i in range(150_000))
+    first, n = encode(text), len(merged)
+    assert encode(text) == first and len(merged) == n
+    small = bpe.Encoder(ranks, bpe.PerfectHash(ranks), bpe.joins(ranks), P.PATTERN, remember=1000)
+    assert small(text) == first and len(small.recent) + len(small.older) <= 2000
+
+
 def test_round_trip(spark, reference):
     rows = [(None, None), *enumerate(texts())]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids string").repartition(3)
